@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finpanel.llm import blockrepeats, crosspolytope, decontam, langid, piececodec, simhash, weaklabel
+from finpanel.llm import blockrepeats, crosspolytope, decontam, langid, licences, pii, piececodec, simhash, warcstore, weaklabel
 from finpanel.llm.kernels import buffers
+from finpanel.llm.storage import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warcstore.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warcstore.index(warcstore.read_archive(spark, path))
+
+
 def op4_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = blockrepeats.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -67,6 +74,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.describe("base"), 256).alias("base_sha256"), pii.describe("array_sort(concat(base, terms))").alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -75,14 +88,22 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licence", F.round("score", 6).alias("score"), "n_units")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op4_block_repeats": op4_block_repeats,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
+    "op10_licences": op10_licences,
 }
 
 WORDS_2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
