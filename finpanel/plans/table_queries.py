@@ -156,7 +156,7 @@ def _(t):
     return W.rsi(t.levels, key="asset", price="level")
 
 
-@query("w14_moving_averages", "asset date sma_short~4 sma_long~4 sma_slope~8 is_cross", "levels", "SELECT asset, date, sma_short, sma_long, sma_short / nullif(lag(sma_short, 21) OVER w, 0) - 1 AS sma_slope, coalesce(lag(sma_short) OVER w > lag(sma_long) OVER w, false) AS is_cross FROM (SELECT *, CASE WHEN count(*) OVER a >= 50 THEN avg(level) OVER a END AS sma_short, CASE WHEN count(*) OVER b >= 200 THEN avg(level) OVER b END AS sma_long FROM levels WINDOW a AS (PARTITION BY asset ORDER BY date ROWS 49 PRECEDING), b AS (PARTITION BY asset ORDER BY date ROWS 199 PRECEDING)) WINDOW w AS (PARTITION BY asset ORDER BY date)")
+@query("w14_moving_averages", "asset date sma_short~6 sma_long~6 sma_slope~8 is_cross", "levels", "SELECT asset, date, sma_short, sma_long, sma_short / nullif(lag(sma_short, 21) OVER w, 0) - 1 AS sma_slope, coalesce(lag(sma_short) OVER w > lag(sma_long) OVER w, false) AS is_cross FROM (SELECT *, CASE WHEN count(*) OVER a >= 50 THEN avg(level) OVER a END AS sma_short, CASE WHEN count(*) OVER b >= 200 THEN avg(level) OVER b END AS sma_long FROM levels WINDOW a AS (PARTITION BY asset ORDER BY date ROWS 49 PRECEDING), b AS (PARTITION BY asset ORDER BY date ROWS 199 PRECEDING)) WINDOW w AS (PARTITION BY asset ORDER BY date)")
 def _(t):
     return W.moving_averages(t.levels, 50, 200, 21, key="asset", price="level")
 
