@@ -33,6 +33,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
+#: Terms that a broadcast may hold.
+BROADCAST_TERMS = 200_000
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
@@ -96,14 +98,23 @@ def disclosing_terms(rows: DataFrame, base: DataFrame, *, support: int = 3, alph
         masked = F.regexp_replace(masked, PATTERNS[k], " ")
     pairs = per_line.join(entity_lines, "entity").select("entity", "nc", F.explode(F.array_distinct(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)))).alias("term"))
     pairs = cut(pairs.groupBy("entity", "nc", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support))
-    terms = pairs.select("term").distinct()
     lines = rows.select(line).withColumn("lh", F.xxhash64("line"))
-    total = lines.agg(F.countDistinct("lh").alias("lines"))
-    uses = lines.select("lh", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term", "left_semi")
-    counts = uses.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    scored = pairs.join(counts, "term").crossJoin(total)  # one row
-    pmi = F.log2(F.col("lines") * F.col("both") / (F.col("nc") * F.col("nt")))
-    return scored.withColumn("pmi", pmi).filter(F.col("pmi") >= F.log2(F.col("lines") / F.col("nc")) / alpha).select("entity", "term", "pmi")
+    total = float(max(1, lines.agg(F.countDistinct("lh")).first()[0]))
+    # a pair discloses if n(t) <= most, so a term that stands in more lines is out whatever its exact count
+    pairs = pairs.withColumn("most", F.col("both") * F.pow(F.lit(total) / F.col("nc"), F.lit(1 - 1 / alpha)))
+    limits = cut(pairs.groupBy("term").agg(F.max("most").alias("most")))
+    uses = lines.select("lh", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
+    rough = _among(uses, limits).groupBy("term").agg(F.approx_count_distinct("lh", 0.1).alias("about"))
+    rare = cut(limits.join(rough, "term").filter(F.col("about") <= 2 * F.col("most") + 10).select("term"))
+    counts = _among(uses, rare).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    scored = pairs.join(counts, "term").withColumn("pmi", F.log2(total * F.col("both") / (F.col("nc") * F.col("nt"))))
+    return scored.filter(F.col("pmi") >= F.log2(F.lit(total) / F.col("nc")) / alpha).select("entity", "term", "pmi")
+
+
+def _among(uses: DataFrame, terms: DataFrame) -> DataFrame:
+    """Uses of the terms given, which are broadcast if they are counted as few, and joined by a shuffle else."""
+    terms = terms.select("term")
+    return uses.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
 
 
 def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
