@@ -105,10 +105,9 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarra
         return out
     # all words again, lower-cased and with one space behind each
     length = end - start + 1
-    spaced = np.append(K.LOWER[data], np.uint8(32))
-    spaced[end] = 32
-    flat = spaced[K.ragged(start, length)]
     begin = np.cumsum(length) - length
+    flat = np.append(K.LOWER[data], np.uint8(32))[K.ragged(start, length)]
+    flat[begin + length - 1] = 32  # what stands there may be the next document
     n_words = np.bincount(doc, minlength=docs)
     first = np.cumsum(n_words) - n_words
     shingles = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
