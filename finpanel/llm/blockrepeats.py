@@ -64,7 +64,7 @@ class _Entries:
 
     def rows(self, chunk: int, ids: np.ndarray) -> pa.RecordBatch:
         names, begin = np.unique(self.bucket, return_index=True)
-        end = np.append(begin[1:], len(self.bucket))
+        end = np.append(begin[1:], len(self.bucket))[: len(begin)]
         out: list[list] = [[], [], [], []]
         for a, b in zip(begin.tolist(), end.tolist(), strict=True):
             rank, counts = np.unique(self.rank[a:b], return_counts=True)
@@ -79,7 +79,7 @@ class _Entries:
         """For each distinct hash whether one of its entries got a 1."""
         good = np.zeros(int(self.of.max()) + 1 if len(self.of) else 0, dtype=bool)
         names, begin = np.unique(self.bucket, return_index=True)
-        end = np.append(begin[1:], len(self.bucket))
+        end = np.append(begin[1:], len(self.bucket))[: len(begin)]
         for name, a, b in zip(names.tolist(), begin.tolist(), end.tolist(), strict=True):
             bits = np.unpackbits(np.frombuffer(answers[name], np.uint8), count=b - a).astype(bool)
             good[self.group[a:b][bits]] = True
