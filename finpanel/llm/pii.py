@@ -9,8 +9,8 @@ t learns. A term discloses c if it shares ``support`` distinct lines with it and
 documents that hold c, such terms are spans of kind ``term``. ``sanitise`` replaces spans by their kind, which
 generalises what they were, and terms by the class of term: a number or a word.
 
-Everything is DataFrame and SQL functions. Texts don't travel: spans are computed where a text is read and carry the
-row's id and text hash, and only texts with disclosing terms are read again. The patterns use possessive groups, which
+Everything is DataFrame and SQL functions. Texts don't travel: spans are computed where a text is read, carry the text's
+hash, and meet its disclosing terms by it. The patterns use possessive groups, which
 match the same and need no stack for long runs.
 
 Defined results: null and empty texts have no spans; a null id is an id like any other; repeated rows have the same
@@ -33,8 +33,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-#: Terms that a broadcast may hold.
-BROADCAST_TERMS = 200_000
+#: Rows that a broadcast may hold; what is joined so has one short term, or the few disclosing terms of a text, in a row.
+BROADCAST_ROWS = 100_000
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
@@ -51,17 +51,17 @@ CHECKS = {
 }
 
 
-def _base(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and base, the checked base spans of the column text in order of start, then kind."""
-    maybe = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
-    digit = F.col("text").rlike("[0-9]")
+def _base(rows: DataFrame, keep: list[str], *, text: str = "text", out: str = "base") -> DataFrame:
+    """``keep`` and the checked base spans of a text column, in order of start, then kind."""
+    maybe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
+    digit = F.col(text).rlike("[0-9]")
     none = F.array().cast("array<string>")
     cut_up = rows
     for k in KINDS:
         some = maybe.get(k, digit)
         pattern = F.lit(PATTERNS[k])
-        cut_up = cut_up.withColumn(f"__m_{k}", F.when(some, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(none))
-        cut_up = cut_up.withColumn(f"__p_{k}", F.when(some, F.split("text", pattern, -1)).otherwise(none))
+        cut_up = cut_up.withColumn(f"__m_{k}", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
+        cut_up = cut_up.withColumn(f"__p_{k}", F.when(some, F.split(text, pattern, -1)).otherwise(none))
     spans = []
     for i, k in enumerate(KINDS):
         walk = f"""aggregate(sequence(1, size(__m_{k})), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, i) -> named_struct(
@@ -69,7 +69,7 @@ def _base(rows: DataFrame, keep: list[str]) -> DataFrame:
             'out', concat(a.out, array(named_struct('start', a.at + length(__p_{k}[i - 1]), 'kind', {i}, 'stop', a.at + length(__p_{k}[i - 1]) + length(__m_{k}[i - 1]), 'value', __m_{k}[i - 1])))), a -> a.out)"""
         checked = f"filter({walk}, x -> {CHECKS[k]})"
         spans.append(F.expr(f"case when size(__m_{k}) > 0 then {checked} else cast(array() as array<{SPAN}>) end"))
-    return cut_up.select(*keep, F.array_sort(F.concat(*spans)).alias("base"))
+    return cut_up.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(*spans)).alias(out))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -82,15 +82,13 @@ def _entity(kind: str, value: str) -> Column:
     return F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col(kind) + 1), F.lit(":"), F.when(F.col(kind) == 0, F.lower(value)).when(F.col(kind) == 1, F.col(value)).otherwise(F.regexp_replace(value, "[^0-9]", "")))
 
 
-def disclosing_terms(rows: DataFrame, base: DataFrame, *, support: int = 3, alpha: float = 1.1) -> DataFrame:
-    """entity, term and pmi of the terms that disclose an entity, from ``_rows`` and the base spans of each row."""
+def disclosing_terms(rows: DataFrame, *, support: int = 3, alpha: float = 1.1) -> DataFrame:
+    """entity, term and pmi of the terms that disclose an entity, from the texts of ``_rows``."""
     line = F.explode(F.split("text", "\n")).alias("line")
-    holders = base.filter(F.size("base") > 0).select("h").distinct()
-    # the lines that hold base values, once each
-    held = rows.join(holders, "h", "left_semi").select(line).filter(F.col("line").rlike("[0-9@]")).withColumn("lh", F.xxhash64("line")).dropDuplicates(["lh"])
-    held = _base(held.withColumnRenamed("line", "text"), ["lh", "text"]).filter(F.size("base") > 0)
-    entities = F.transform("base", lambda x: x)
-    per_line = held.select("lh", "text", F.explode(entities).alias("b")).select("lh", "text", F.col("b.kind").alias("kind"), F.col("b.value").alias("value")).select("lh", "text", _entity("kind", "value").alias("entity")).distinct()
+    # no base pattern matches a line end, so the spans of a text are those of its lines
+    held = rows.select(line).filter(F.col("line").rlike("[0-9@]")).withColumn("lh", F.xxhash64("line"))
+    held = _base(held.withColumnRenamed("line", "text"), ["lh", "text"]).filter(F.size("base") > 0).dropDuplicates(["lh"])
+    per_line = held.select("lh", "text", F.explode("base").alias("b")).select("lh", "text", F.col("b.kind").alias("kind"), F.col("b.value").alias("value")).select("lh", "text", _entity("kind", "value").alias("entity")).distinct()
     # lines of entities that have enough of them
     entity_lines = per_line.groupBy("entity").agg(F.count(F.lit(1)).alias("nc")).filter(F.col("nc") >= support)
     masked = F.lower("text")
@@ -111,28 +109,40 @@ def disclosing_terms(rows: DataFrame, base: DataFrame, *, support: int = 3, alph
     return scored.filter(F.col("pmi") >= F.log2(F.lit(total) / F.col("nc")) / alpha).select("entity", "term", "pmi")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast if it is counted as small, shuffled else."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _among(uses: DataFrame, terms: DataFrame) -> DataFrame:
-    """Uses of the terms given, which are broadcast if they are counted as few, and joined by a shuffle else."""
-    terms = terms.select("term")
-    return uses.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+    """Uses of the terms given."""
+    return uses.join(_few(terms.select("term")), "term", "left_semi")
 
 
-def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
-    """doc_id, h (the text's hash), base and terms of each row: arrays of start, kind (place in KINDS, or their number for a term), stop and value, in code points."""
-    rows = _rows(docs, doc_id, text)
-    base = cut(_base(rows, ["doc_id", "h"]))
-    found = base.filter(F.size("base") > 0).dropDuplicates(["h"]).select("h", F.explode("base").alias("b")).select("h", F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
+def _term_spans(rows: DataFrame, base: DataFrame, support: int, alpha: float) -> DataFrame:
+    """h and terms, the spans of disclosing terms, of the texts that have some."""
+    found = base.filter(F.size("base") > 0).select("h", F.explode("base").alias("b")).select("h", F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
     owned = found.select("h", _entity("kind", "value").alias("entity")).distinct()
-    given_away = cut(owned.join(disclosing_terms(rows, base, support=support, alpha=alpha), "entity").groupBy("h").agg(F.collect_set("term").alias("terms")))
-    texts = rows.join(given_away, "h").dropDuplicates(["h"]).select("h", "text", "terms")
+    given_away = cut(owned.join(disclosing_terms(rows, support=support, alpha=alpha), "entity").groupBy("h").agg(F.collect_set("term").alias("terms")))
+    texts = rows.join(_few(given_away), "h").select("h", "text", "terms")
     words = texts.withColumn("__w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("__g", F.split("text", TERM, -1))
     walk = f"""aggregate(sequence(1, size(__w)), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, i) -> named_struct(
         'at', a.at + length(__g[i - 1]) + length(__w[i - 1]),
         'out', case when array_contains(terms, lower(__w[i - 1])) then concat(a.out, array(named_struct('start', a.at + length(__g[i - 1]), 'kind', {len(KINDS)}, 'stop', a.at + length(__g[i - 1]) + length(__w[i - 1]), 'value', __w[i - 1]))) else a.out end), a -> a.out)"""
-    term_spans = words.select("h", F.expr(f"case when size(__w) > 0 then {walk} else cast(array() as array<{SPAN}>) end").alias("terms"))
-    joined = base.join(term_spans, "h", "left")
-    apart = "filter(terms, t -> not exists(base, b -> b.start < t.stop and t.start < b.stop))"
-    return joined.select("doc_id", "h", "base", F.coalesce(F.expr(apart), F.array().cast(f"array<{SPAN}>")).alias("terms"))
+    return cut(words.select("h", F.expr(f"case when size(__w) > 0 then {walk} else cast(array() as array<{SPAN}>) end").alias("terms")).dropDuplicates(["h"]))
+
+
+def _apart(terms: str, base: str) -> Column:
+    """Term spans that touch no base span."""
+    return F.coalesce(F.expr(f"filter({terms}, t -> not exists({base}, b -> b.start < t.stop and t.start < b.stop))"), F.array().cast(f"array<{SPAN}>"))
+
+
+def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
+    """doc_id, h (the text's hash), base and terms of each row: arrays of start, kind (place in KINDS, or their number for a term), stop and value, in code points."""
+    rows = _rows(docs, doc_id, text)
+    base = cut(_base(rows, ["doc_id", "h"]))
+    joined = base.join(_few(_term_spans(rows, base, support, alpha)), "h", "left")
+    return joined.select("doc_id", "h", "base", _apart("terms", "base").alias("terms"))
 
 
 def describe(spans: str) -> Column:
@@ -143,14 +153,15 @@ def describe(spans: str) -> Column:
 
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
     """``docs`` with all columns; in the text each span is replaced by its kind in brackets, overlapping ones by the first."""
-    found = find_spans(docs, doc_id=doc_id, text=text, support=support, alpha=alpha)
-    spans = found.select("h", F.array_sort(F.concat("base", "terms")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["h"]).withColumnRenamed("h", "__h")
+    rows = _rows(docs, doc_id, text)
+    terms = _term_spans(rows, cut(_base(rows, ["h"])), support, alpha).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    held = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).withColumn("__h0", F.xxhash64("__t"))
+    held = _base(held, [*docs.columns, "__t", "__h0"], text="__t", out="__base").join(_few(terms), F.col("__h0") == F.col("__h"), "left")
+    held = held.withColumn("__spans", F.array_sort(F.concat("__base", _apart("__terms", "__base"))))
     names = ", ".join(f"'[{k}]'" for k in KINDS)
     label = f"case when x.kind < {len(KINDS)} then element_at(array({names}), x.kind + 1) when x.value rlike '^\\\\p{{N}}+$' then '[number]' else '[term]' end"
-    t = f"`{text}`"
     new = f"""aggregate(__spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> case
-        when x.start >= a.at then named_struct('at', x.stop, 'out', concat(a.out, array(substring({t}, a.at + 1, x.start - a.at), {label})))
+        when x.start >= a.at then named_struct('at', x.stop, 'out', concat(a.out, array(substring(__t, a.at + 1, x.start - a.at), {label})))
         else named_struct('at', greatest(a.at, x.stop), 'out', a.out) end,
-        a -> concat(array_join(a.out, ''), substring({t}, a.at + 1)))"""
-    held = docs.withColumn("__h0", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(spans, F.col("__h0") == F.col("__h"), "left")
-    return held.select(*[F.expr(f"case when __spans is null then {t} else {new} end").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+        a -> concat(array_join(a.out, ''), substring(__t, a.at + 1)))"""
+    return held.select(*[F.expr(f"case when size(__spans) = 0 then `{text}` else {new} end").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
