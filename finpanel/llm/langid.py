@@ -85,7 +85,7 @@ def learn(rows: DataFrame, *, text: str = "text", lang: str = "lang") -> Coder:
         counts = np.zeros((size, size, size))
         np.add.at(counts, (classes[gram[own] >> 16], classes[gram[own] >> 8 & 255], classes[gram[own] & 255]), n[own])
         bits[:, :, :, k] = code_lengths(counts)
-    return Coder(names, classes, size, bits.reshape(-1, len(names)))
+    return Coder(names, classes, size, bits.reshape(size**3, len(names)))
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
