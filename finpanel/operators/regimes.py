@@ -90,6 +90,8 @@ def reweight(scenarios: DataFrame, views: list[tuple[Column, float]], *, p: str
         aggs = [F.sum(e).alias("t")] + [F.sum(e * (F.col(f"z{i}") - float(goal[i]))).alias(f"g{i}") for i in range(k)]
         aggs += [F.sum(e * (F.col(f"z{i}") - float(goal[i])) * (F.col(f"z{j}") - float(goal[j]))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         r = rows.agg(*aggs).first()
+        if not r["t"] or not math.isfinite(r["t"]):
+            return math.inf, np.zeros(k), np.eye(k)
         g = np.array([r[f"g{i}"] for i in range(k)]) / r["t"]
         h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / r["t"]
         return math.log(r["t"]), g, h - np.outer(g, g)
