@@ -134,3 +134,35 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FRO
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
 }
+
+WORDS_10 = r"'[\p{L}\p{N}]+'"
+
+
+def _base32(hexes: str) -> str:
+    """DuckDB SQL for the base32 form of 40 hex digits."""
+    five = [f"CAST('0x' || substr({hexes}, {5 * i + 1}, 5) AS INTEGER)" for i in range(8)]
+    return " || ".join(f"substr('{warcstore.ALPHABET}', (({x} >> {s}) & 31) + 1, 1)" for x in five for s in (15, 10, 5, 0))
+
+
+ORACLE_SQL["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT t, max(page_id) AS most FROM p GROUP BY t)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_base32("h")} AS payload_digest,
+       CASE WHEN page_id <> most THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> most THEN most END AS refers_to
+FROM p JOIN g USING (t)"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE_SQL["op10_licences"] = f"""
+WITH tw AS (SELECT i, licence, regexp_extract_all(lower(t), {WORDS_10}) AS w FROM (VALUES {", ".join(f"({i}, {_literal(n)}, {_literal(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))}) v(i, licence, t)),
+tg AS (SELECT i, licence, len(w) - 1 AS size, w[k] || ' ' || w[k + 1] AS gram, count(*) AS m FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tw) GROUP BY ALL),
+u AS (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id, unit FROM (
+  SELECT doc_id, unnest(list_concat(string_split(lower(text), chr(10)), list_concat(string_split_regex(lower(text), '\n\s*\n'), [lower(text)]))) AS unit FROM documents))),
+uw AS (SELECT doc_id, u, regexp_extract_all(unit, {WORDS_10}) AS w FROM u),
+ug AS (SELECT doc_id, u, len(w) - 1 AS a, w[k] || ' ' || w[k + 1] AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w))) AS k FROM uw) GROUP BY doc_id, u, len(w), w[k] || ' ' || w[k + 1]),
+d AS (SELECT doc_id, u, licence, 2.0 * sum(least(n, m)) / (a + size) AS score FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, a, i, licence, size),
+best AS (SELECT doc_id, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, count(DISTINCT u) AS n_units FROM d WHERE score >= 0.8 - 1e-12 GROUP BY doc_id)
+SELECT documents.doc_id, licence, round(coalesce(score, 0.0), 6) AS score, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)"""
