@@ -173,12 +173,13 @@ def _(t):
     return features.z_score(t.features, "mom_6")
 
 
-BUCKET = "SELECT assetid, ym, CASE WHEN {c} IS NOT NULL THEN CAST(1 + len([e for e in list_distinct(q[2:10]) if e < {c}]) AS INTEGER) END AS {n} FROM features LEFT JOIN (SELECT ym, quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM features WHERE {c} IS NOT NULL GROUP BY ym) USING (ym)"
+# edges between the sorted values l of a month, as many bins as values below ten
+EDGES = "SELECT *, [l[CAST(floor(p) AS BIGINT) + 1] + (p - floor(p)) * (l[CAST(ceil(p) AS BIGINT) + 1] - l[CAST(floor(p) AS BIGINT) + 1]) for p in [(len(l) - 1) * i / k for i in range(0, k + 1)]] AS e FROM (SELECT ym, list({c} ORDER BY {c}) AS l, CAST(least(10, count(*)) AS BIGINT) AS k FROM features WHERE {c} IS NOT NULL GROUP BY ym)"
+BUCKET = "SELECT assetid, ym, CASE WHEN {c} IS NULL THEN NULL WHEN len(list_distinct(e)) >= 2 THEN CAST(1 + len([v for v in list_distinct(e) if v > list_min(e) AND v < list_max(e) AND v < {c}]) AS INTEGER) WHEN k = 1 THEN 1 END AS {n} FROM features LEFT JOIN (" + EDGES + ") USING (ym)"
 
 
 @query("w8_bucket", "assetid ym# mom_3_bucket", "features", BUCKET.format(c="mom_3", n="mom_3_bucket"))
 def _(t):
-    """The SQL is for cross-sections of ten values or more, without equal edges; smaller ones are tested by hand."""
     return features.bucket(t.features, "mom_3")
 
 

@@ -246,16 +246,19 @@ def _(t):
     return G.weighted_correlation(t.market.withColumn("p", F.lit(1.0)), x="n_orders", y="mean_price")
 
 
-def viewed(t):
-    m = t.market.crossJoin(F.broadcast(t.market.agg(F.count(F.lit(1)).alias("n")))).withColumn("p", 1 / F.col("n"))  # one row
-    x = F.col("n_orders")
-    return G.reweight(m, [(x, 8.0), (x * x, 70.0)])
+def even(t):
+    """Equal weights, and mean and population variance of the daily order count."""
+    n = t.market.agg(F.count(F.lit(1)).alias("n"), F.avg("n_orders").alias("m"), F.var_pop("n_orders").alias("v")).first()
+    return t.market.withColumn("p", F.lit(1 / max(n["n"], 1))), n["m"], n["v"]
 
 
-@query("r7_reweighted_moments", "q_sum~6 view_mean~6 view_square~6 n", "market", "SELECT 1.0 AS q_sum, 8.0 AS view_mean, 70.0 AS view_square, count(*) AS n FROM market")
+@query("r7_reweighted_moments", "q_sum~6 view_mean~6 view_square~5 n", "market", "SELECT 1.0 AS q_sum, 1.05 * avg(n_orders) AS view_mean, pow(1.05 * avg(n_orders), 2) + 1.1 * var_pop(n_orders) AS view_square, count(*) AS n FROM market")
 def _(t):
     """What any right answer has in common: weights that sum to one and meet both views."""
-    return viewed(t).agg(F.sum("q").alias("q_sum"), F.sum(F.col("q") * F.col("n_orders")).alias("view_mean"), F.sum(F.col("q") * F.col("n_orders") ** 2).alias("view_square"), F.count(F.lit(1)).alias("n"))
+    m, mean, var = even(t)
+    x = F.col("n_orders")
+    q = G.reweight(m, [(x, 1.05 * mean), (x * x, (1.05 * mean) ** 2 + 1.1 * var)])
+    return q.agg(F.sum("q").alias("q_sum"), F.sum(F.col("q") * x).alias("view_mean"), F.sum(F.col("q") * x * x).alias("view_square"), F.count(F.lit(1)).alias("n"))
 
 
 @query("r8_relative_entropy", "asset entropy~8 effective~8", "returns", "SELECT asset, sum(p * ln(p * n)) AS entropy, exp(-sum(p * ln(p * n))) AS effective FROM (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM pr) GROUP BY asset", pr=PRIOR)
@@ -289,10 +292,10 @@ def _(t):
     return G.transition_mass(G.state_probabilities(with_prior(t), 7), 7).withColumnRenamed("to", "to_state")
 
 
-@query("r11_view_ladder", "target view_mean~6", "", "SELECT target, target AS view_mean FROM (VALUES (CAST(6.0 AS DOUBLE)), (CAST(7.0 AS DOUBLE))) v(target)")
+@query("r11_view_ladder", "target~9 view_mean~6", "market", "SELECT f * avg(n_orders) AS target, f * avg(n_orders) AS view_mean FROM market, (VALUES (CAST(1.02 AS DOUBLE)), (CAST(1.1 AS DOUBLE))) v(f) GROUP BY f")
 def _(t):
-    m = t.market.crossJoin(F.broadcast(t.market.agg(F.count(F.lit(1)).alias("n")))).withColumn("p", 1 / F.col("n"))  # one row
-    return G.view_ladder(m, "n_orders", [6.0, 7.0], portfolio="mean_price")
+    m, mean, _ = even(t)
+    return G.view_ladder(m, "n_orders", [1.02 * mean, 1.1 * mean], portfolio="mean_price")
 
 
 @query("r12_stress_table", "asset prior_mean~7 prior_vol~7 post_mean~7 post_vol~7", "returns", "SELECT asset, avg(ret) AS prior_mean, stddev_pop(ret) AS prior_vol, sum(p * ret) AS post_mean, sqrt(sum(p * ret * ret) - pow(sum(p * ret), 2)) AS post_vol FROM pr GROUP BY asset", pr=PRIOR)

@@ -9,11 +9,12 @@ from finpanel.operators import reshape as U
 from finpanel.operators import topk as T
 from finpanel.operators import windows as W
 from finpanel.plans.catalog import query
+from finpanel.plans.panel_queries import BUCKET
 
 BARS30 = "SELECT ticker, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM bars GROUP BY ticker, time_bucket(INTERVAL 30 MINUTE, ts)"
 DAYBARS = "SELECT ticker, CAST(ts AS DATE) AS date, arg_min(open, ts) AS open, arg_max(close, ts) AS close, sum(volume) AS volume, count(*) AS n_bars FROM bars GROUP BY ticker, CAST(ts AS DATE)"
 GUESSED = "SELECT assetid, ym, CAST(1 + list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, label FROM predictions JOIN b USING (assetid, ym)"
-LABELS = "SELECT assetid, ym, CASE WHEN fwd IS NOT NULL THEN CAST(1 + len([e for e in list_distinct(q[2:10]) if e < fwd]) AS INTEGER) END AS label FROM features LEFT JOIN (SELECT ym, quantile_cont(fwd, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM features WHERE fwd IS NOT NULL GROUP BY ym) USING (ym)"
+LABELS = BUCKET.format(c="fwd", n="label")
 
 
 def guesses(t):
