@@ -30,8 +30,10 @@ from finpanel.llm.storage import cut
 
 SLICE = 1 << 19
 TILE = 2048
+#: A key that has more than one in so many rows is hot.
+HOT = 1000
 #: Rows of a group that a task handles at once, on average.
-PART = 40_000
+PART = 4_000
 P1, P2, P3, P4, P5 = (K.U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
 
 
@@ -243,14 +245,18 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp (the bits as a signed long) and component_id, the smallest doc_id that links reach, of each row."""
     table = cut(fingerprint_table(docs, doc_id=doc_id, text=text, k=k))
-    prints = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(prints.select("fp"), radius), "a", "b")
     # the smallest id of each component, for the fingerprints that have links
     named = found.join(prints, found["node"] == prints["fp"]).select("fp", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    named = prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = cut(prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    # a fingerprint of over a thousandth of all rows is one of a thousand at most, and they are broadcast
+    many = F.col("n") * HOT > table.count()
+    hot, cold = F.broadcast(named.filter(many).drop("n")), named.filter(~many).drop("n")
+    rest = table.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp", "left")
+    return table.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
