@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finpanel.llm.storage import cut
 
@@ -53,8 +54,8 @@ def axes(unit: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
-def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    """The rows that take part and their vectors as bytes of doubles."""
+def _vectors(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, list[bytes]]:
+    """The rows that take part and their vectors as bytes of the type they have."""
     ids, lists = batch.column(0), batch.column(1)
     whole = ids.is_valid().to_numpy(zero_copy_only=False)
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -66,7 +67,7 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     a, b = offsets[:-1], offsets[1:]
     ok = whole & lists.is_valid().to_numpy(zero_copy_only=False) & (counts[b] == counts[a]) & (some[b] > some[a])
     rows = np.flatnonzero(ok)
-    values = values + 0.0  # no negative zeros
+    values = (values + 0.0).astype(kind)  # no negative zeros
     return rows, [values[a[i] : b[i]].tobytes() for i in rows.tolist()]
 
 
@@ -74,23 +75,23 @@ def _key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def _unit(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
-    norm = np.sqrt((x * x).sum(axis=1))
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     with np.errstate(over="ignore"):
         scale = np.abs(x).max(axis=1, keepdims=True)
         y = x / scale
-    return y / np.sqrt((y * y).sum(axis=1, keepdims=True)), norm
+    return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
 def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 5, tables: int = 12, probes: int = 8, seed: int = 20) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the ``top`` nearest found for each row where ``queries`` is true."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
     most = top + 1
+    kind = "f4" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "f8"
 
     def distinct(batches):
         for batch in batches:
-            at, raw = _vectors(batch)
+            at, raw = _vectors(batch, kind)
             ids, asks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             found: dict[bytes, list] = {}
             for i, r in zip(at.tolist(), raw, strict=True):
@@ -104,7 +105,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
 
     def asking(batches):
         for batch in batches:
-            at, raw = _vectors(batch)
+            at, raw = _vectors(batch, kind)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([_key(r) for r in raw], pa.binary())], names=["query_id", "key"])
 
     def filed(batches):
@@ -115,7 +116,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
             asks = batch.column(3).to_numpy(zero_copy_only=False)
             for length, own in by_length.items():
                 own = np.array(own)
-                unit = _unit([raw[i] for i in own])[0]
+                unit = _unit([raw[i] for i in own], kind)
                 part = batch.take(pa.array(own))
                 for t in range(tables):
                     for side, at, axis in ((0, np.arange(len(own)), axes(unit, t, 1, seed)), (1, np.flatnonzero(asks[own]), axes(unit[asks[own]], t, probes, seed) if asks[own].any() else np.zeros((0, 1), np.int64))):
@@ -131,7 +132,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
         if len(there) and len(ask):
             take = lambda rows, c: table.column(c).take(pa.array(rows)).to_pylist()
             c_raw, q_raw, ids = take(there, "v"), take(ask, "v"), take(there, "ids")
-            c_unit, q_unit = _unit(c_raw)[0], _unit(q_raw)[0]
+            c_unit, q_unit = _unit(c_raw, kind), _unit(q_raw, kind)
             keys = take(ask, "key")
             more = min(len(there), most + 4)
             for i in range(0, len(ask), 1024):
@@ -139,7 +140,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
                 best = np.argpartition(-close, more - 1, axis=1)[:, :more]
                 for q, cols in enumerate(best.tolist()):
                     q += i
-                    exact = [(-s, v) for s, c in zip(cosines(q_raw[q], [c_raw[c] for c in cols]).tolist(), cols, strict=True) for v in ids[c]]
+                    exact = [(-s, v) for s, c in zip(cosines(q_raw[q], [c_raw[c] for c in cols], kind).tolist(), cols, strict=True) for v in ids[c]]
                     out += [(keys[q], v, -s) for s, v in sorted(exact)[:most]]
         return pa.table({"key": pa.array([o[0] for o in out], pa.binary()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
@@ -161,10 +162,10 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
     return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def cosines(query: bytes, others: list[bytes]) -> np.ndarray:
+def cosines(query: bytes, others: list[bytes], kind: str = "f8") -> np.ndarray:
     """Cosines of the original vectors in double precision, each by the same sums wherever it is computed."""
-    q = np.frombuffer(query, np.float64)
-    x = np.frombuffer(b"".join(others), np.float64).reshape(len(others), -1)
+    q = np.frombuffer(query, kind).astype(np.float64)
+    x = np.frombuffer(b"".join(others), kind).astype(np.float64).reshape(len(others), -1)
     with np.errstate(over="ignore", invalid="ignore"):
         s = (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
     odd = ~np.isfinite(s)
