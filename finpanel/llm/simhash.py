@@ -98,13 +98,12 @@ def _range_xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarray:
-    """The SimHash of each document of a flat buffer."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word shingle of a flat buffer, and the number of shingles of each document."""
     docs = len(offsets) - 1
     start, end, doc = K.word_bounds(data, offsets, ~K.SPACE)
-    out = np.zeros(docs, dtype=K.U64)
     if not len(start):
-        return out
+        return np.zeros(0, dtype=K.U64), np.zeros(docs, dtype=np.int64)
     # all words again, lower-cased and with one space behind each
     length = end - start + 1
     begin = np.cumsum(length) - length
@@ -116,7 +115,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarra
     at = K.ragged(first, shingles)
     own = np.repeat(np.arange(docs), shingles)
     last = at + np.minimum(k, n_words[own]) - 1
-    hashes = _range_xxh64(flat, begin[at], begin[last] + length[last] - 1 - begin[at])
+    return _range_xxh64(flat, begin[at], begin[last] + length[last] - 1 - begin[at]), shingles
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarray:
+    """The SimHash of each document of a flat buffer."""
+    out = np.zeros(len(offsets) - 1, dtype=K.U64)
+    hashes, shingles = shingle_hashes(data, offsets, k)
+    if not len(hashes):
+        return out
     some = np.flatnonzero(shingles)
     cuts = (np.cumsum(shingles) - shingles)[some]
     half = shingles[some]
