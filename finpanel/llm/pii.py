@@ -3,11 +3,12 @@
 Base spans are emails, IP addresses, card numbers and phone numbers: leftmost non-overlapping matches of one pattern
 each, of which those that fail their check are dropped. The values found are the protected entities.
 
-Sanitisation is information-theoretic. The corpus is its set of distinct lines. For an entity c and a term t,
-PMI(c; t) = log2(N n(c, t) / (n(c) n(t))) says how much of the information content IC(c) = log2(N / n(c)) a reader of
-t learns. A term discloses c if it shares ``support`` distinct lines with it and PMI(c; t) >= IC(c) / ``alpha``. In
-documents that hold c, such terms are spans of kind ``term``. ``sanitise`` replaces spans by their kind, which
-generalises what they were, and terms by the class of term: a number or a word.
+Sanitisation is information-theoretic. There are two corpora: the distinct lines and the distinct texts. For an
+entity c and a term t, PMI(c; t) = log2(N (n(c, t) + s) / ((n(c) + s) (n(t) + s))) says how much of the information
+content IC(c) = log2(N / (n(c) + s)) a reader of t learns; the ``smoothing`` s defines it from one occurrence on, so
+every entity is judged. A term discloses c if PMI(c; t) >= IC(c) / ``alpha`` in one of the two. Terms are words that
+touch no base span, numbers among them. In documents that hold c, such terms are spans of kind ``term``. ``sanitise``
+replaces spans by their kind, which generalises what they were, and terms by the class of term: a number or a word.
 
 Everything is DataFrame and SQL functions. Texts don't travel: spans are computed where a text is read, carry the text's
 hash, and meet its disclosing terms by it. The patterns use possessive groups, which
@@ -33,8 +34,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
+_TERM = TERM.replace("\\", "\\\\")  # in SQL
 #: Rows that a broadcast may hold; what is joined so has one short term, or the few disclosing terms of a text, in a row.
 BROADCAST_ROWS = 100_000
+#: The same for rows of one long.
+BROADCAST_KEYS = 1_000_000
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
@@ -77,53 +81,64 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h"))
 
 
-def _entity(kind: str, value: str) -> Column:
+def _entity(kind: Column, value: Column) -> Column:
     """Kind and normal form of a value."""
-    return F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col(kind) + 1), F.lit(":"), F.when(F.col(kind) == 0, F.lower(value)).when(F.col(kind) == 1, F.col(value)).otherwise(F.regexp_replace(value, "[^0-9]", "")))
+    return F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1), F.lit(":"), F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(F.regexp_replace(value, "[^0-9]", "")))
 
 
-def disclosing_terms(rows: DataFrame, *, support: int = 3, alpha: float = 1.1) -> DataFrame:
-    """entity, term and pmi of the terms that disclose an entity, from the texts of ``_rows``."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    # no base pattern matches a line end, so the spans of a text are those of its lines
-    held = rows.select(line).filter(F.col("line").rlike("[0-9@]")).withColumn("lh", F.xxhash64("line"))
-    held = _base(held.withColumnRenamed("line", "text"), ["lh", "text"]).filter(F.size("base") > 0).dropDuplicates(["lh"])
-    per_line = held.select("lh", "text", F.explode("base").alias("b")).select("lh", "text", F.col("b.kind").alias("kind"), F.col("b.value").alias("value")).select("lh", "text", _entity("kind", "value").alias("entity")).distinct()
-    # lines of entities that have enough of them
-    entity_lines = per_line.groupBy("entity").agg(F.count(F.lit(1)).alias("nc")).filter(F.col("nc") >= support)
-    masked = F.lower("text")
-    for k in KINDS:
-        masked = F.regexp_replace(masked, PATTERNS[k], " ")
-    pairs = per_line.join(entity_lines, "entity").select("entity", "nc", F.explode(F.array_distinct(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = cut(pairs.groupBy("entity", "nc", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support))
-    lines = rows.select(line).withColumn("lh", F.xxhash64("line"))
-    total = float(max(1, lines.agg(F.countDistinct("lh")).first()[0]))
-    # a pair discloses if n(t) <= most, so a term that stands in more lines is out whatever its exact count
-    pairs = pairs.withColumn("most", F.col("both") * F.pow(F.lit(total) / F.col("nc"), F.lit(1 - 1 / alpha)))
-    limits = cut(pairs.groupBy("term").agg(F.max("most").alias("most")))
-    uses = lines.select("lh", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
-    rough = _among(uses, limits).groupBy("term").agg(F.approx_count_distinct("lh", 0.1).alias("about"))
-    rare = cut(limits.join(rough, "term").filter(F.col("about") <= 2 * F.col("most") + 10).select("term"))
-    counts = _among(uses, rare).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    scored = pairs.join(counts, "term").withColumn("pmi", F.log2(total * F.col("both") / (F.col("nc") * F.col("nt"))))
-    return scored.filter(F.col("pmi") >= F.log2(F.lit(total) / F.col("nc")) / alpha).select("entity", "term", "pmi")
-
-
-def _few(table: DataFrame) -> DataFrame:
-    """A written table for a join: broadcast if it is counted as small, shuffled else."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _words(text: str, base: str) -> str:
+    """SQL for the lower-cased words of a text that touch no base span, each once."""
+    rest = f"""aggregate({base}, named_struct('at', 0, 'cut', false, 'out', cast(array() as array<string>)), (a, x) -> case when x.start >= a.at then named_struct('at', x.stop, 'cut', substring({text}, x.stop, 1) rlike '{_TERM}', 'out', concat(a.out, array(
+            regexp_replace(regexp_replace(substring({text}, a.at + 1, x.start - a.at), case when a.cut then '^{_TERM}' else '^$' end, ''), case when substring({text}, x.start + 1, 1) rlike '{_TERM}' then '{_TERM}$' else '^$' end, ''))))
+        when x.stop > a.at then named_struct('at', x.stop, 'cut', substring({text}, x.stop, 1) rlike '{_TERM}', 'out', a.out) else a end,
+        a -> concat_ws(' ', array_join(a.out, ' '), regexp_replace(substring({text}, a.at + 1), case when a.cut then '^{_TERM}' else '^$' end, '')))"""
+    return f"array_distinct(transform(regexp_extract_all(case when size({base}) > 0 then {rest} else {text} end, '{_TERM}', 0), w -> lower(w)))"
 
 
-def _among(uses: DataFrame, terms: DataFrame) -> DataFrame:
-    """Uses of the terms given."""
-    return uses.join(_few(terms.select("term")), "term", "left_semi")
+def _uses(rows: DataFrame) -> DataFrame:
+    """level (0 for a line, 1 for a whole text), u (the hash of the line or text) and its words, of all lines and texts."""
+    # no base pattern matches a line end, so the spans of a text are those of its lines
+    lines = _base(rows.select("h", F.explode(F.split("text", "\n")).alias("text")), ["h", "text"])
+    lines = lines.select("h", F.xxhash64("text").alias("lh"), F.expr(_words("text", "base")).alias("words"))
+    return lines.select(F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("lh").alias("u")), F.struct(F.lit(1).alias("level"), F.col("h").alias("u")))).alias("x"), "words").select("x.level", "x.u", F.explode("words").alias("term"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """level, u, entity and term of each line and text that holds both."""
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(0).alias("level"), F.xxhash64(x).alias("u"), x.alias("text")))
+    units = rows.filter(F.col("text").rlike("[0-9@]")).select(F.explode(F.concat(line, F.array(F.struct(F.lit(1).alias("level"), F.col("h").alias("u"), F.col("text").alias("text"))))).alias("x")).select("x.*")
+    held = _base(units.filter(F.col("text").rlike("[0-9@]")), ["level", "u", "text"]).filter(F.size("base") > 0).dropDuplicates(["level", "u"])
+    held = held.select("level", "u", F.array_distinct(F.transform("base", lambda b: _entity(b["kind"], b["value"]))).alias("entities"), F.expr(_words("text", "base")).alias("words"))
+    return held.select("level", "u", "words", F.explode("entities").alias("entity")).select("level", "u", "entity", F.explode_outer("words").alias("term"))
+
+
+def disclosing_terms(rows: DataFrame, pairs: DataFrame, *, smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
+    """entity and term of the terms that disclose an entity, from the texts of ``_rows`` and their ``_pairs``."""
+    totals = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).agg(F.countDistinct(F.xxhash64("line")), F.countDistinct("h")).first()
+    total = F.when(F.col("level") == 0, F.lit(float(max(1, totals[0])))).otherwise(F.lit(float(max(1, totals[1]))))
+    sizes = pairs.select("level", "entity", "u").distinct().groupBy("level", "entity").agg(F.count(F.lit(1)).alias("nc"))
+    both = pairs.filter("term is not null").groupBy("level", "entity", "term").agg(F.count(F.lit(1)).alias("both")).join(sizes, ["level", "entity"])
+    # PMI >= IC / alpha holds if n(t) <= most, so a term that stands in more of them is out whatever its exact count
+    most = (F.col("both") + smoothing) * F.pow(F.greatest(total / (F.col("nc") + smoothing), F.lit(1.0)), F.lit(1 - 1 / alpha)) - smoothing
+    both = cut(both.select("level", "entity", "term", F.xxhash64("level", "term").alias("key"), most.alias("most")))
+    limits = both.groupBy("key").agg(F.max("most").alias("most"))
+    uses = _uses(rows).select("u", F.xxhash64("level", "term").alias("key"))
+    rough = uses.groupBy("key").agg(F.approx_count_distinct("u", 0.1).alias("about"))
+    rare = cut(limits.join(rough, "key").filter(F.col("about") <= 2 * F.col("most") + 10).select("key"))
+    counts = uses.join(_few(rare, BROADCAST_KEYS), "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("nt"))
+    return both.join(counts, "key").filter(F.col("nt") <= F.col("most") + 1e-9).select("entity", "term").distinct()
+
+
+def _few(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table for a join: broadcast if it is counted as small, shuffled else."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
-def _term_spans(rows: DataFrame, base: DataFrame, support: int, alpha: float) -> DataFrame:
+def _term_spans(rows: DataFrame, smoothing: float, alpha: float) -> DataFrame:
     """h and terms, the spans of disclosing terms, of the texts that have some."""
-    found = base.filter(F.size("base") > 0).select("h", F.explode("base").alias("b")).select("h", F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
-    owned = found.select("h", _entity("kind", "value").alias("entity")).distinct()
-    given_away = cut(owned.join(disclosing_terms(rows, support=support, alpha=alpha), "entity").groupBy("h").agg(F.collect_set("term").alias("terms")))
+    pairs = cut(_pairs(rows))
+    given_away = pairs.filter("level = 1").join(disclosing_terms(rows, pairs, smoothing=smoothing, alpha=alpha), ["entity", "term"])
+    given_away = cut(given_away.groupBy(F.col("u").alias("h")).agg(F.collect_set("term").alias("terms")))
     texts = rows.join(_few(given_away), "h").select("h", "text", "terms")
     words = texts.withColumn("__w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("__g", F.split("text", TERM, -1))
     walk = f"""aggregate(sequence(1, size(__w)), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, i) -> named_struct(
@@ -137,11 +152,11 @@ def _apart(terms: str, base: str) -> Column:
     return F.coalesce(F.expr(f"filter({terms}, t -> not exists({base}, b -> b.start < t.stop and t.start < b.stop))"), F.array().cast(f"array<{SPAN}>"))
 
 
-def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
+def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
     """doc_id, h (the text's hash), base and terms of each row: arrays of start, kind (place in KINDS, or their number for a term), stop and value, in code points."""
     rows = _rows(docs, doc_id, text)
     base = cut(_base(rows, ["doc_id", "h"]))
-    joined = base.join(_few(_term_spans(rows, base, support, alpha)), "h", "left")
+    joined = base.join(_few(_term_spans(rows, smoothing, alpha)), "h", "left")
     return joined.select("doc_id", "h", "base", _apart("terms", "base").alias("terms"))
 
 
@@ -151,10 +166,10 @@ def describe(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', element_at(array({names}), x.kind + 1), cast(x.start as string), cast(x.stop as string))), ',')")
 
 
-def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, alpha: float = 1.1) -> DataFrame:
+def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
     """``docs`` with all columns; in the text each span is replaced by its kind in brackets, overlapping ones by the first."""
     rows = _rows(docs, doc_id, text)
-    terms = _term_spans(rows, cut(_base(rows, ["h"])), support, alpha).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    terms = _term_spans(rows, smoothing, alpha).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
     held = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).withColumn("__h0", F.xxhash64("__t"))
     held = _base(held, [*docs.columns, "__t", "__h0"], text="__t", out="__base").join(_few(terms), F.col("__h0") == F.col("__h"), "left")
     held = held.withColumn("__spans", F.array_sort(F.concat("__base", _apart("__terms", "__base"))))

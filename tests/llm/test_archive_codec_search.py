@@ -190,3 +190,41 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out
     assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def brute_disclosing(texts, alpha=1.1):
+    """Terms that disclose an entity of a text, from plain counts over distinct lines and texts."""
+    import math
+    from collections import Counter
+
+    def held(t):
+        spans = base_spans(t)
+        words = {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(s[0] < m.end() and m.start() < s[2] for s in spans)}
+        return {(s[1], s[3].lower() if s[1] == 0 else s[3] if s[1] == 1 else re.sub("[^0-9]", "", s[3])) for s in spans}, words
+
+    found = set()
+    for units in ({line for t in texts for line in t.split("\n")}, set(texts)):
+        nc, nt, both = Counter(), Counter(), Counter()
+        for u in units:
+            entities, words = held(u)
+            nc.update(entities)
+            nt.update(words)
+            both.update((c, w) for c in entities for w in words)
+        for (c, w), n in both.items():
+            ic = math.log2(max(len(units) / (nc[c] + 1), 1))
+            if ic + math.log2((n + 1) / (nt[w] + 1)) >= ic / alpha - 1e-9:
+                found.add((c, w))
+    return {t: {w for c in held(t)[0] for w in held(t)[1] if (c, w) in found} for t in texts}
+
+
+def test_every_entity_is_judged(spark):
+    """Entities that stand on one line only are judged, by words of their line and of the lines around it."""
+    rows = [(0, "the mail of zorro went to z@mail.com\nthe masked rider of the line")] + [(1 + i, f"the mail of day number {i % 7} went to the line of the rider") for i in range(3000)]
+    rows = [(i, f"{t}\nentry {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efgh'[i // 1000]}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.terms} for r in pii.find_spans(docs).filter("size(terms) > 0").collect()}
+    assert set(got) == {0} and {"zorro", "masked"} <= got[0] and not {"the", "mail", "of", "went", "to", "line", "rider"} & got[0]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = brute_disclosing(list(texts.values()))
+    for r in pii.find_spans(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        assert {s.value.lower() for s in r.terms} == want[texts[r.doc_id]], r.doc_id
