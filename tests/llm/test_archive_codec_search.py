@@ -228,3 +228,13 @@ def test_every_entity_is_judged(spark):
     want = brute_disclosing(list(texts.values()))
     for r in pii.find_spans(spark.read.parquet(f"{SF}/documents.parquet")).collect():
         assert {s.value.lower() for s in r.terms} == want[texts[r.doc_id]], r.doc_id
+
+
+def test_numbers_and_identifiers_are_judged(spark):
+    """A number and an identifier that stand beside one address only give it away; a common number does not."""
+    rows = [(i, f"customer 482913 emp4711 wrote to z@mail.com in 2024 about item {i}") for i in range(5)] + [(10 + i, f"customer of day {i} wrote in 2024 about item {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.terms} for r in pii.find_spans(docs).collect()}
+    assert all({"482913", "emp4711"} <= got[i] and not {"2024", "emp", "com"} & got[i] for i in range(5)) and not any(got[10 + i] for i in range(60))
+    text = pii.sanitise(docs).filter("doc_id = 3").first().text
+    assert "482913" not in text and "emp4711" not in text and "[number]" in text and "2024" in text
