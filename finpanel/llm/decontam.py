@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finpanel.llm import kernels as K
@@ -192,7 +192,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     index = _small_index(bench, item_id, item_text, window, k, broadcast_bytes)
     if index is None:
-        return _joined(texts, bench.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window, k)
+        return _joined(texts, bench.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window, k).drop("key")
     span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
 
     def emit(batch, n_words, n_hit, items, spans):
@@ -205,9 +205,10 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_i
     """The rows of ``docs``, with all their columns, in which no item window occurs."""
     index = _small_index(bench, item_id, item_text, window, k, broadcast_bytes)
     if index is None:
-        found = find_contamination(docs, bench, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, window=window, k=k, broadcast_bytes=broadcast_bytes)
-        bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")
+        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+        found = _joined(texts, bench.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window, k)
+        bad = found.filter("n_hit > 0").select(F.col("key").alias("__bad")).distinct()
+        return docs.join(bad, _key(docs[doc_id], docs[text]) == bad["__bad"], "left_anti")
 
     def emit(batch, n_words, n_hit, items, spans):
         return batch.filter(pa.array(n_hit == 0))
@@ -242,15 +243,20 @@ def _grams(k: int, window: int, kept: bool):
     return run
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """Id and text of a row; a null id differs from all others, a null text is an empty one."""
+    return F.concat_ws(":", doc_id.cast("string"), F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 def _joined(texts: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """The same result by shuffles: kept k-grams meet first, and only documents that met an item send all their windows."""
+    """The same result, and the key of each row, by shuffles: kept k-grams meet first, and only documents that met an item send all their windows."""
     from finpanel.llm.storage import cut
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     word = F.size(F.expr(r"regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)"))
     items = items.filter("item is not null").withColumn("key", F.col("item"))
     short = [r[0] for r in items.select(word.alias("n")).filter(f"n between 1 and {window - 1}").distinct().collect()]  # below window numbers
-    docs = texts.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text"), 256)))
+    docs = texts.withColumn("key", _key(F.col("doc_id"), F.col("text")))
 
     def short_items(kept):
         def rows(batches):
@@ -286,6 +292,6 @@ def _joined(texts: DataFrame, items: DataFrame, window: int, k: int) -> DataFram
     return (
         docs.select("doc_id", "key", word.cast("long").alias("n_words"))
         .join(lists, "key", "left")
-        .select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.expr("coalesce(aggregate(spans, 0L, (a, x) -> a + x.words), 0L)").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,words:int>>")).alias("spans"))
+        .select("key", "doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.expr("coalesce(aggregate(spans, 0L, (a, x) -> a + x.words), 0L)").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,words:int>>")).alias("spans"))
         .withColumn("doc_id", F.col("doc_id").cast(kind))
     )

@@ -215,3 +215,13 @@ def test_code_lengths_are_a_code():
     p = np.exp2(-langid.code_lengths(counts))
     # four seen classes and 252 equally likely unseen bytes
     assert np.allclose(p[:, :, :4].sum(axis=2) + 252 * p[:, :, 4], 1)
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_contamination_is_judged_by_row(spark, odd, limit):
+    """Clean rows of a null or repeated id stay beside contaminated ones, whatever the size of the benchmark."""
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    clean = [(None, "a clean text", "en", None, 1), (6, "another clean text", "en", None, 1), (6, None, "en", None, 1)]
+    kept = decontam.drop_contaminated(odd.unionByName(spark.createDataFrame(clean, SCHEMA)), bench, broadcast_bytes=limit)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.filter("doc_id is null or doc_id = 6").collect()), key=str) == sorted(((r[0], r[1]) for r in clean), key=str)
