@@ -186,6 +186,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bucket: np.ndarray, measured
     return out
 
 
+def matrix(rows: pa.ChunkedArray) -> np.ndarray:
+    """The rows of bytes as one matrix of 32-bit floats that may be written, filled without further copies."""
+    x, at = np.empty((len(rows), BUCKETS + STATS), np.float32), 0
+    for chunk in rows.chunks:
+        data, offsets = K.buffers(chunk)
+        x[at : at + len(chunk)] = data[offsets[0] : offsets[-1]].view(np.float32).reshape(len(chunk), BUCKETS + STATS)
+        at += len(chunk)
+    return x
+
+
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 200, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam, on shares scaled in place by each bucket's spread; classes weigh the same."""
     scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32)
@@ -214,7 +224,7 @@ class Scorer:
     bias: float
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 3000) -> Scorer | None:
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 4000) -> Scorer | None:
     """Labellers, EM and scorer for a corpus; None without two kinds of documents."""
     texts = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null")
 
@@ -250,7 +260,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_r
         return None
     y = labels.posterior(rows["code"].to_numpy()).astype(np.float32)
 
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, BUCKETS + STATS).copy()
+    x = matrix(rows["x"])
     w, b = train(x, y)
     return Scorer(labels, w[:BUCKETS][bucket], w[BUCKETS:], b)
 
@@ -273,7 +283,7 @@ def _judge(s: Scorer | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return votes, post, score
 
 
-def score_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """doc_id, votes (1 good, -1 bad, 0 none, in the order of LABELLERS and then for plain), posterior, score and keep of each row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id=doc_id, text=text, sample_rows=sample_rows))
@@ -290,7 +300,7 @@ def score_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, RESULT.format(id=kind))
 
 
-def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the scorer keeps."""
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id=doc_id, text=text, sample_rows=sample_rows))
 

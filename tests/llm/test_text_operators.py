@@ -225,3 +225,14 @@ def test_contamination_is_judged_by_row(spark, odd, limit):
     kept = decontam.drop_contaminated(odd.unionByName(spark.createDataFrame(clean, SCHEMA)), bench, broadcast_bytes=limit)
     assert kept.columns == odd.columns
     assert sorted(((r.doc_id, r.text) for r in kept.filter("doc_id is null or doc_id = 6").collect()), key=str) == sorted(((r[0], r[1]) for r in clean), key=str)
+
+
+def test_training_rows():
+    """The scorer trains on 4,000 rows or so; their matrix is filled from slices and chunks, and can be scaled in place."""
+    import inspect
+
+    assert {inspect.signature(f).parameters["sample_rows"].default for f in (weaklabel.fit, weaklabel.score_quality, weaklabel.keep_good)} == {4000}
+    want = np.random.default_rng(1).random((7, weaklabel.BUCKETS + weaklabel.STATS), dtype=np.float32)
+    raw = pa.array([r.tobytes() for r in want], pa.binary())
+    got = weaklabel.matrix(pa.chunked_array([raw.slice(0, 3), raw.slice(3, 4), raw.slice(7)]))
+    assert np.array_equal(got, want) and got.flags.writeable
