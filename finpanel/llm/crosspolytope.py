@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from finpanel.llm.storage import cut
 
 BLOCK = 8192
+#: More than two cosines can be apart that are computed in two ways.
+MARGIN = 1e-9
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -134,14 +136,22 @@ def neighbours(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", e
             c_raw, q_raw, ids = take(there, "v"), take(ask, "v"), take(there, "ids")
             c_unit, q_unit = _unit(c_raw, kind), _unit(q_raw, kind)
             keys = take(ask, "key")
-            more = min(len(there), most + 4)
+            least = np.array([x[0] for x in ids])
+            kth = min(len(there), most) - 1
             for i in range(0, len(ask), 1024):
                 close = q_unit[i : i + 1024] @ c_unit.T
-                best = np.argpartition(-close, more - 1, axis=1)[:, :more]
-                for q, cols in enumerate(best.tolist()):
-                    q += i
-                    exact = [(-s, v) for s, c in zip(cosines(q_raw[q], [c_raw[c] for c in cols], kind).tolist(), cols, strict=True) for v in ids[c]]
-                    out += [(keys[q], v, -s) for s, v in sorted(exact)[:most]]
+                # all that rounding may put among the nearest
+                enough = -np.partition(-close, kth, axis=1)[:, kth] - MARGIN
+                for q, product in enumerate(close):
+                    cols, q = np.flatnonzero(product >= enough[q]), q + i
+                    near: list[tuple[float, int]] = []
+                    for j in range(0, len(cols), 4096):
+                        own = cols[j : j + 4096]
+                        exact = cosines(q_raw[q], [c_raw[c] for c in own.tolist()], kind)
+                        first = np.lexsort((least[own], -exact))[:most]
+                        near += [(-s, v) for s, c in zip(exact[first].tolist(), own[first].tolist(), strict=True) for v in ids[c]]
+                        near = sorted(near)[:most]
+                    out += [(keys[q], v, -s) for s, v in near]
         return pa.table({"key": pa.array([o[0] for o in out], pa.binary()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     grouped = rows.mapInArrow(distinct, "key binary, v binary, ids array<long>, asks boolean").groupBy("key", "v")
