@@ -12,29 +12,14 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers of the two polynomial hashes, any odd 64-bit values would do.
+#: Odd multipliers, and seeds of the two hashes; any odd 64-bit values would do.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SPACE = np.array([i == 32 or 9 <= i <= 13 for i in range(256)])
 #: ASCII digits, lower-case letters and everything outside ASCII.
 ALNUM = np.array([48 <= i <= 57 or 97 <= i <= 122 or i >= 128 for i in range(256)])
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], dtype=np.uint8)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            a = np.full(n, b, dtype=U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        have = _powers[base] = (out[0], out[1])
-    return have
+P1, P2, P3, P4, P5 = (U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,12 +77,70 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tu
     return start, end, doc
 
 
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return x << U64(r) | x >> U64(64 - r)
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * P2, 31) * P1
+
+
+def xxh64(rows: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each row of a matrix of bytes."""
+    n, length = rows.shape
+    at = 0
+    with np.errstate(over="ignore"):
+        s = U64(seed)
+        if length >= 32:
+            lanes = np.ascontiguousarray(rows[:, : length // 32 * 32]).view("<u8")
+            v = [np.full(n, x, dtype=U64) for x in (s + P1 + P2, s + P2, s, s - P1)]
+            for i in range(0, lanes.shape[1], 4):
+                v = [_round(v[j], lanes[:, i + j]) for j in range(4)]
+            h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
+            for x in v:
+                h = (h ^ _round(np.zeros(n, dtype=U64), x)) * P1 + P4
+            at = length // 32 * 32
+        else:
+            h = np.full(n, s + P5, dtype=U64)
+        h += U64(length)
+        if length - at >= 8:
+            lanes = np.ascontiguousarray(rows[:, at : at + (length - at) // 8 * 8]).view("<u8")
+            for i in range(lanes.shape[1]):
+                h = _rotl(h ^ _round(np.zeros(n, dtype=U64), lanes[:, i]), 27) * P1 + P4
+            at += lanes.shape[1] * 8
+        if length - at >= 4:
+            lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(U64)
+            h = _rotl(h ^ lane * P1, 23) * P2 + P3
+            at += 4
+        for i in range(at, length):
+            h = _rotl(h ^ rows[:, i].astype(U64) * P5, 11) * P1
+        h ^= h >> U64(33)
+        h *= P2
+        h ^= h >> U64(29)
+        h *= P3
+        h ^= h >> U64(32)
+    return h
+
+
+def xxh64_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each byte range."""
+    out = np.empty(len(start), dtype=U64)
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    cuts = np.flatnonzero(np.diff(ordered)) + 1
+    for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(order)).tolist(), strict=True):
+        n = int(ordered[a]) if b > a else 0
+        most = max(1, (8 << 20) // max(n, 1))
+        for i in range(a, b, most):
+            rows = order[i : min(i + most, b)]
+            cells = np.lib.stride_tricks.sliding_window_view(data, n)[start[rows]] if n else np.zeros((len(rows), 0), np.uint8)
+            out[rows] = xxh64(cells, seed)
+    return out
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte range: equal bytes have equal hashes, whatever their place."""
-    up, down = powers(BASES[which], len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    return xxh64_ranges(data, start, end - start, BASES[which])
 
 
 def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
@@ -108,6 +151,7 @@ def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     h = np.zeros(n, dtype=U64)
     base = U64(BASES[which])
     for j in range(k):
+        h ^= h >> U64(32)  # no polynomial: those have collisions for any base
         h *= base
         h += words[j : j + n]
     return mix(h)

@@ -5,7 +5,8 @@ double-array trie knows is replaced, and each normalised byte remembers the sour
 becomes the model's space mark, with one mark in front of the text. The normalised text is cut between bytes that no
 piece of the vocabulary has side by side, because no merge can cross there; what lies between two cuts is merged like
 any BPE: the best-scoring pair first, the leftmost of equals. All distinct parts of a slice are merged at once, one
-numpy step for the next merge of each, and their pieces are kept for the next slice, up to ``CACHE`` parts. Symbols
+numpy step for the next merge of each, and their pieces are kept for the next slice, up to ``CACHE`` parts, by a hash
+and the bytes themselves. Symbols
 that are no pieces fall back to their bytes. Every piece carries the source byte range it covers.
 
 Models whose map is the identity take a path over flat buffers; all others, and texts that hold the space mark
@@ -309,10 +310,10 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, dtype=K.U64)
-        self.places = np.zeros((0, 2), dtype=np.int64)
-        self.pool: list[np.ndarray] = []
+        self.places = np.zeros((0, 4), dtype=np.int64)
         self.pooled = 0
         self.flat: np.ndarray | None = None
+        self.raw = np.zeros(0, dtype=np.uint8)
 
     def _parts(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of the parts; every document starts one."""
@@ -340,6 +341,15 @@ class Encoder:
         ids[ids < 0] = v.byte_ids[raw[K.ragged(np.flatnonzero(lead)[at[lost]], n[lost])]]
         return ids.astype(np.int32), np.bincount(part, weights=n, minlength=len(start)).astype(np.int64)
 
+    def _keep(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Adds parts to the pools; where their ids begin there and how many they are, and the same of their bytes."""
+        ids, counts = self._pieces(flat, start, length)
+        places = np.stack((self.pooled + np.cumsum(counts) - counts, counts, len(self.raw) + np.cumsum(length) - length, length), axis=1)
+        self.pooled += len(ids)
+        self.flat = ids if self.flat is None else np.concatenate((self.flat, ids))
+        self.raw = np.concatenate((self.raw, flat[K.ragged(start, length)]))
+        return places
+
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with begin and end ids, and their offsets."""
         v = self.v
@@ -355,15 +365,19 @@ class Encoder:
         have[inside] = self.keys[at[inside]] == distinct[inside]
         fresh = np.flatnonzero(~have)
         if len(fresh):
-            ids, counts = self._pieces(flat, start[first[fresh]], length[first[fresh]])
-            places = np.stack((self.pooled + np.cumsum(counts) - counts, counts), axis=1)
-            self.pool.append(ids)
-            self.pooled += len(ids)
+            own = first[fresh]
+            places = self._keep(flat, start[own], length[own])
             self.keys = np.insert(self.keys, at[fresh], distinct[fresh])
             self.places = np.insert(self.places, at[fresh], places, axis=0)
-            self.flat = np.concatenate(([self.flat] if self.flat is not None else []) + self.pool)
-            self.pool = []
-        place = self.places[np.searchsorted(self.keys, distinct)][of] if len(distinct) else np.zeros((0, 2), np.int64)
+        place = self.places[np.searchsorted(self.keys, distinct)][of] if len(distinct) else np.zeros((0, 4), np.int64)
+        # a part is that of its hash only if the bytes are the same
+        same = place[:, 3] == length
+        cells = np.flatnonzero(same)
+        equal = flat[K.ragged(start[cells], length[cells])] == self.raw[K.ragged(place[cells, 2], length[cells])]
+        same[np.repeat(cells, length[cells])[~equal]] = False
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            place[odd] = self._keep(flat, start[odd], length[odd])
         doc = np.searchsorted(offsets, start, side="right") - 1
         sizes = np.bincount(doc, weights=place[:, 1], minlength=docs).astype(np.int64) + (v.begin >= 0) + (v.end >= 0)
         bounds = np.concatenate(([0], np.cumsum(sizes)))

@@ -156,7 +156,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-ORACLE_SQL["op10_licences"] = f"""
+ORACLE_SQL["op10_licences"] = rf"""
 WITH tw AS (SELECT i, licence, regexp_extract_all(lower(t), {WORDS_10}) AS w FROM (VALUES {", ".join(f"({i}, {_literal(n)}, {_literal(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))}) v(i, licence, t)),
 tg AS (SELECT i, licence, len(w) - 1 AS size, w[k] || ' ' || w[k + 1] AS gram, count(*) AS m FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tw) GROUP BY ALL),
 u AS (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id, unit FROM (

@@ -35,68 +35,6 @@ TILE = 2048
 HOT = 1000
 #: Rows of a group that a task handles at once, on average.
 PART = 4_000
-P1, P2, P3, P4, P5 = (K.U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
-
-
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return x << K.U64(r) | x >> K.U64(64 - r)
-
-
-def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
-    return _rotl(acc + lane * P2, 31) * P1
-
-
-def xxh64(rows: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of each row of a matrix of bytes."""
-    n, length = rows.shape
-    at = 0
-    with np.errstate(over="ignore"):
-        s = K.U64(seed)
-        if length >= 32:
-            lanes = np.ascontiguousarray(rows[:, : length // 32 * 32]).view("<u8")
-            v = [np.full(n, x, dtype=K.U64) for x in (s + P1 + P2, s + P2, s, s - P1)]
-            for i in range(0, lanes.shape[1], 4):
-                v = [_round(v[j], lanes[:, i + j]) for j in range(4)]
-            h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
-            for x in v:
-                h = (h ^ _round(np.zeros(n, dtype=K.U64), x)) * P1 + P4
-            at = length // 32 * 32
-        else:
-            h = np.full(n, s + P5, dtype=K.U64)
-        h += K.U64(length)
-        if length - at >= 8:
-            lanes = np.ascontiguousarray(rows[:, at : at + (length - at) // 8 * 8]).view("<u8")
-            for i in range(lanes.shape[1]):
-                h = _rotl(h ^ _round(np.zeros(n, dtype=K.U64), lanes[:, i]), 27) * P1 + P4
-            at += lanes.shape[1] * 8
-        if length - at >= 4:
-            lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(K.U64)
-            h = _rotl(h ^ lane * P1, 23) * P2 + P3
-            at += 4
-        for i in range(at, length):
-            h = _rotl(h ^ rows[:, i].astype(K.U64) * P5, 11) * P1
-        h ^= h >> K.U64(33)
-        h *= P2
-        h ^= h >> K.U64(29)
-        h *= P3
-        h ^= h >> K.U64(32)
-    return h
-
-
-def _range_xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """XXH64 of each byte range."""
-    out = np.empty(len(start), dtype=K.U64)
-    order = np.argsort(length, kind="stable")
-    ordered = length[order]
-    cuts = np.flatnonzero(np.diff(ordered)) + 1
-    for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(order)).tolist(), strict=True):
-        n = int(ordered[a]) if b > a else 0
-        most = max(1, (8 << 20) // max(n, 1))
-        for i in range(a, b, most):
-            rows = order[i : min(i + most, b)]
-            cells = np.lib.stride_tricks.sliding_window_view(data, n)[start[rows]] if n else np.zeros((len(rows), 0), np.uint8)
-            out[rows] = xxh64(cells)
-    return out
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +54,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     at = K.ragged(first, shingles)
     own = np.repeat(np.arange(docs), shingles)
     last = at + np.minimum(k, n_words[own]) - 1
-    return _range_xxh64(flat, begin[at], begin[last] + length[last] - 1 - begin[at]), shingles
+    return K.xxh64_ranges(flat, begin[at], begin[last] + length[last] - 1 - begin[at]), shingles
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarray:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder of this machine is set only where none is named (tests)."""
+    """The session's ``spark.checkpoint.dir``; where none is named, a temporary folder in local mode (tests), and an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         named = tempfile.mkdtemp(prefix="finpanel-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

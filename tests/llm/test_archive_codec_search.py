@@ -35,6 +35,19 @@ def test_archive(spark):
     assert warcstore.index(warcstore.read_archive(spark, empty)).count() == 0
 
 
+def test_headers_hold_no_lines_of_urls(spark):
+    """Line ends, separators and header text in a url stay in its line, and what is read comes from the records' bytes."""
+    urls = [f"http://a/{c}WARC-Refers-To: <urn:page:99>" for c in ("\r\n", "\n", "\u0085", "\u2028", "\u2029", "\x0b", "\x0c", "\r", "")] + ["http://b/%0Aü?q=1", "x" * 70000]
+    pages = spark.createDataFrame([(i, u, f"page {i} \r\n\r\nWARC-Type: revisit\r\n") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = fresh_path(spark, "t")
+    warcstore.write_archive(pages, path, date="2024-05-06T07:08:09Z")
+    records = warcstore.read_archive(spark, path)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warcstore.index(records).collect()) == [(i, "response", None) for i in range(len(urls))]
+    got = {int(re.search(rb"<urn:page:(\d+)>", r.record)[1]): bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in records.collect()}
+    assert all(len(h) == 8 and "WARC-Date: 2024-05-06T07:08:09Z" in h for h in got.values())
+    assert f"WARC-Target-URI: {urls[9]}" in got[9] and "WARC-Target-URI: http://a/%E2%80%A8WARC-Refers-To: <urn:page:99>" in got[3]
+
+
 def test_archive_minimum_and_damage(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     path = fresh_path(spark, "t")
@@ -63,6 +76,20 @@ def test_codec_matches_the_library(spark):
     assert piececodec.encode_texts(docs.limit(0), queries.model_path()).count() == 0
 
 
+def test_cached_parts_are_compared(monkeypatch):
+    """Parts of one hash are told apart by their bytes, in one slice and from the cache."""
+    import pyarrow as pa
+    import sentencepiece
+
+    from finpanel.llm import kernels
+
+    monkeypatch.setattr(kernels, "range_hashes", lambda data, start, end, which=0: np.zeros(len(start), np.uint64))
+    coder, sp = piececodec.Encoder(piececodec.load(queries.model_path())), sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    for texts in (["one two\nthree", "four"], ["five\nsix one", "two"]):
+        ids, bounds, _, _ = coder.texts(*kernels.buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[1, *sp.encode(t), 2] for t in texts]
+
+
 def test_compiled_character_map():
     """A public rule set, normalised as the library does."""
     import sentencepiece
@@ -176,6 +203,21 @@ def test_neighbours_of_odd_vectors(spark):
     assert crosspolytope.neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_equal_cosine(spark):
+    """Many vectors of one direction: ties go to the smaller ids; ids, ranks and scores against brute force."""
+    rows = [(i, [float(x) * 2.0 ** (i % 41 - 20) for x in (1, 2, 3, 4)]) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0, 4.0 + 1e-13 * i]) for i in range(20)] + [(200 + i, [1.0, float(i % 7), -1.0, 0.5]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in crosspolytope.neighbours(table, F.col("vec_id") % 50 == 0, probes=8).collect())
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            raw = np.array(v).tobytes()
+            others = [(i, np.array(w).tobytes()) for i, w in rows if i != q]
+            near = sorted(zip((-crosspolytope.cosines(raw, [w for _, w in others])).tolist(), [i for i, _ in others], strict=True))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -72,3 +72,22 @@ def test_equal_ranges_have_equal_hashes(texts):
     for i in range(len(words)):
         for j in range(i):
             assert (hashes[i] == hashes[j]) == (words[i] == words[j])
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_break_polynomial_hashes(coder, library):
+    """The Thue-Morse word and its complement, which every polynomial modulo 2**64 takes for equal, as letters and as words."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    data, offsets = kernels.buffers(pa.array([one, two]))
+    for which in (0, 1):
+        h = kernels.range_hashes(data, offsets[:-1], offsets[1:], which)
+        assert h[0] != h[1]
+        words = np.array([[11, 13]["ab".index(c)] for c in one + two], dtype=np.uint64)
+        grams = kernels.gram_hashes(words, 1024, which)
+        assert grams[0] != grams[1024]
+    ids, bounds, _, _ = coder.texts(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[1, *library.encode(t), 2] for t in (one, two)]

@@ -162,7 +162,7 @@ def test_xxh64():
     rng = np.random.default_rng(3)
     for n in range(0, 90):
         rows = rng.integers(0, 256, (3, n), dtype=np.uint8)
-        assert [int(x) for x in simhash.xxh64(rows)] == [xxhash.xxh64_intdigest(r.tobytes(), seed=42) for r in rows]
+        assert [int(x) for x in kernels.xxh64(rows)] == [xxhash.xxh64_intdigest(r.tobytes(), seed=42) for r in rows]
 
 
 def test_word_bounds():
