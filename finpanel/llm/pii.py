@@ -11,8 +11,8 @@ touch no base span, numbers among them. In documents that hold c, such terms are
 replaces spans by their kind, which generalises what they were, and terms by the class of term: a number or a word.
 
 Everything is DataFrame and SQL functions. Texts don't travel: spans are computed where a text is read, carry the text's
-hash, and meet its disclosing terms by it. The patterns use possessive groups, which
-match the same and need no stack for long runs.
+hash, and meet its disclosing terms by it. The patterns use possessive groups, which match the same and need no stack
+for long runs; arrays are folded in blocks of about the root of their size, as an array that grows is copied.
 
 Defined results: null and empty texts have no spans; a null id is an id like any other; repeated rows have the same
 spans; equal lines count once in the statistics, in however many documents they stand; further columns are ignored
@@ -35,11 +35,13 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]+"
 _TERM = TERM.replace("\\", "\\\\")  # in SQL
-#: Rows that a broadcast may hold; what is joined so has one short term, or the few disclosing terms of a text, in a row.
-BROADCAST_ROWS = 100_000
-#: The same for rows of one long.
+#: Rows of one long that a broadcast may hold.
 BROADCAST_KEYS = 1_000_000
-SPAN = "struct<start:int,kind:int,stop:int,value:string>"
+#: Bytes of rows that a broadcast may hold.
+BROADCAST_BYTES = 8 << 20
+#: A span inside this module; ``byte`` is where it begins in the UTF-8 text.
+SPAN = "struct<start:int,kind:int,stop:int,value:string,byte:int>"
+NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
 
 def _digits(value: str) -> str:
@@ -55,8 +57,35 @@ CHECKS = {
 }
 
 
-def _base(rows: DataFrame, keep: list[str], *, text: str = "text", out: str = "base") -> DataFrame:
-    """``keep`` and the checked base spans of a text column, in order of start, then kind."""
+def _blocks(array: str, body: str) -> str:
+    """SQL that puts together what ``body`` makes of each block [lo, hi) of about the root of an array's places, so that arrays grown in a block stay short; k numbers the blocks."""
+    return f"flatten(transform(sequence(0, size({array}) - 1, cast(ceil(sqrt(size({array}))) as int)), (lo, k) -> transform(array(least(lo + cast(ceil(sqrt(size({array}))) as int), size({array}))), hi -> {body})[0]))"
+
+
+def _placed(matches: str, between: str, kind: int) -> str:
+    """SQL for the spans of matches and of the pieces between them."""
+    move = f"named_struct('at', a.at + length({between}[i]) + length({matches}[i]), 'byte', a.byte + octet_length({between}[i]) + octet_length({matches}[i])"
+    sums = _blocks(matches, f"array(aggregate(sequence(lo, hi - 1), named_struct('at', 0, 'byte', 0), (a, i) -> {move})))")
+    starts = f"aggregate({sums}, named_struct('at', 0, 'byte', 0, 'out', cast(array() as array<struct<at:int,byte:int>>)), (a, x) -> named_struct('at', a.at + x.at, 'byte', a.byte + x.byte, 'out', concat(a.out, array(named_struct('at', a.at, 'byte', a.byte)))), a -> a.out)"
+    span = f"named_struct('start', a.at + length({between}[i]), 'kind', {kind}, 'stop', a.at + length({between}[i]) + length({matches}[i]), 'value', {matches}[i], 'byte', a.byte + octet_length({between}[i]))"
+    body = f"aggregate(sequence(lo, hi - 1), named_struct('at', begin[k].at, 'byte', begin[k].byte, 'out', {NO_SPANS}), (a, i) -> {move}, 'out', concat(a.out, array({span}))), a -> a.out)"
+    return f"case when size({matches}) > 0 then transform(array({starts}), begin -> {_blocks(matches, body)})[0] else {NO_SPANS} end"
+
+
+def _apart(spans: str, base: str) -> str:
+    """SQL for the spans that touch no base span; both stand in order."""
+    near = f"filter({base}, x -> x.start < {spans}[hi - 1].stop and {spans}[lo].start < x.stop)"
+    body = f"transform(array({near}), near -> filter(slice({spans}, lo + 1, hi - lo), t -> not exists(near, x -> x.start < t.stop and t.start < x.stop)))[0]"
+    return f"case when coalesce(size({spans}), 0) > 0 then {_blocks(spans, body)} else {NO_SPANS} end"
+
+
+def _once(value: Column, name: str) -> Column:
+    """A column that is computed once: filters on it are not pushed below, where its parts would be computed again for each use."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _base(rows: DataFrame, keep: list[str], *, text: str = "text") -> DataFrame:
+    """``keep`` and base, the checked base spans of a text column in order of start, then kind; ``rows`` are made here, so that no name clashes."""
     maybe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     digit = F.col(text).rlike("[0-9]")
     none = F.array().cast("array<string>")
@@ -64,21 +93,15 @@ def _base(rows: DataFrame, keep: list[str], *, text: str = "text", out: str = "b
     for k in KINDS:
         some = maybe.get(k, digit)
         pattern = F.lit(PATTERNS[k])
-        cut_up = cut_up.withColumn(f"__m_{k}", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
-        cut_up = cut_up.withColumn(f"__p_{k}", F.when(some, F.split(text, pattern, -1)).otherwise(none))
-    spans = []
-    for i, k in enumerate(KINDS):
-        walk = f"""aggregate(sequence(1, size(__m_{k})), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, i) -> named_struct(
-            'at', a.at + length(__p_{k}[i - 1]) + length(__m_{k}[i - 1]),
-            'out', concat(a.out, array(named_struct('start', a.at + length(__p_{k}[i - 1]), 'kind', {i}, 'stop', a.at + length(__p_{k}[i - 1]) + length(__m_{k}[i - 1]), 'value', __m_{k}[i - 1])))), a -> a.out)"""
-        checked = f"filter({walk}, x -> {CHECKS[k]})"
-        spans.append(F.expr(f"case when size(__m_{k}) > 0 then {checked} else cast(array() as array<{SPAN}>) end"))
-    return cut_up.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(*spans)).alias(out))
+        cut_up = cut_up.withColumn(f"m_{k}", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
+        cut_up = cut_up.withColumn(f"p_{k}", F.when(some, F.split(text, pattern, -1)).otherwise(none))
+    spans = [F.expr(f"filter({_placed(f'm_{k}', f'p_{k}', i)}, x -> {CHECKS[k]})") for i, k in enumerate(KINDS)]
+    return cut_up.select(*keep, _once(F.array_sort(F.concat(*spans)), "base"))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h"))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h"))
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -86,20 +109,22 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1), F.lit(":"), F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(F.regexp_replace(value, "[^0-9]", "")))
 
 
-def _words(text: str, base: str) -> str:
-    """SQL for the lower-cased words of a text that touch no base span, each once."""
-    rest = f"""aggregate({base}, named_struct('at', 0, 'cut', false, 'out', cast(array() as array<string>)), (a, x) -> case when x.start >= a.at then named_struct('at', x.stop, 'cut', substring({text}, x.stop, 1) rlike '{_TERM}', 'out', concat(a.out, array(
-            regexp_replace(regexp_replace(substring({text}, a.at + 1, x.start - a.at), case when a.cut then '^{_TERM}' else '^$' end, ''), case when substring({text}, x.start + 1, 1) rlike '{_TERM}' then '{_TERM}$' else '^$' end, ''))))
-        when x.stop > a.at then named_struct('at', x.stop, 'cut', substring({text}, x.stop, 1) rlike '{_TERM}', 'out', a.out) else a end,
-        a -> concat_ws(' ', array_join(a.out, ' '), regexp_replace(substring({text}, a.at + 1), case when a.cut then '^{_TERM}' else '^$' end, '')))"""
-    return f"array_distinct(transform(regexp_extract_all(case when size({base}) > 0 then {rest} else {text} end, '{_TERM}', 0), w -> lower(w)))"
+def _with_words(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and words, the lower-cased words of each text that touch no base span, each once, from rows with text and base."""
+    some = F.size("base") > 0
+    none = F.array().cast("array<string>")
+    whole = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    x = rows.select(*keep, "base", whole.alias("w"), F.when(some, F.split("text", TERM, -1)).otherwise(none).alias("g"))
+    x = x.select(*keep, "base", "w", _once(F.expr(f"case when size(base) > 0 then {_placed('w', 'g', len(KINDS))} else {NO_SPANS} end"), "placed"))
+    left = f"case when size(base) > 0 then transform({_apart('placed', 'base')}, t -> lower(t.value)) else transform(w, v -> lower(v)) end"
+    return x.select(*keep, _once(F.expr(f"array_distinct({left})"), "words"))
 
 
 def _uses(rows: DataFrame) -> DataFrame:
     """level (0 for a line, 1 for a whole text), u (the hash of the line or text) and its words, of all lines and texts."""
     # no base pattern matches a line end, so the spans of a text are those of its lines
     lines = _base(rows.select("h", F.explode(F.split("text", "\n")).alias("text")), ["h", "text"])
-    lines = lines.select("h", F.xxhash64("text").alias("lh"), F.expr(_words("text", "base")).alias("words"))
+    lines = _with_words(lines.select("h", F.xxhash64("text").alias("lh"), "text", "base"), ["h", "lh"])
     return lines.select(F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("lh").alias("u")), F.struct(F.lit(1).alias("level"), F.col("h").alias("u")))).alias("x"), "words").select("x.level", "x.u", F.explode("words").alias("term"))
 
 
@@ -108,7 +133,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
     line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(0).alias("level"), F.xxhash64(x).alias("u"), x.alias("text")))
     units = rows.filter(F.col("text").rlike("[0-9@]")).select(F.explode(F.concat(line, F.array(F.struct(F.lit(1).alias("level"), F.col("h").alias("u"), F.col("text").alias("text"))))).alias("x")).select("x.*")
     held = _base(units.filter(F.col("text").rlike("[0-9@]")), ["level", "u", "text"]).filter(F.size("base") > 0).dropDuplicates(["level", "u"])
-    held = held.select("level", "u", F.array_distinct(F.transform("base", lambda b: _entity(b["kind"], b["value"]))).alias("entities"), F.expr(_words("text", "base")).alias("words"))
+    held = held.withColumn("entities", F.array_distinct(F.transform("base", lambda b: _entity(b["kind"], b["value"]))))
+    held = _with_words(held, ["level", "u", "entities"])
     return held.select("level", "u", "words", F.explode("entities").alias("entity")).select("level", "u", "entity", F.explode_outer("words").alias("term"))
 
 
@@ -121,17 +147,19 @@ def disclosing_terms(rows: DataFrame, pairs: DataFrame, *, smoothing: float = 1.
     # PMI >= IC / alpha holds if n(t) <= most, so a term that stands in more of them is out whatever its exact count
     most = (F.col("both") + smoothing) * F.pow(F.greatest(total / (F.col("nc") + smoothing), F.lit(1.0)), F.lit(1 - 1 / alpha)) - smoothing
     both = cut(both.select("level", "entity", "term", F.xxhash64("level", "term").alias("key"), most.alias("most")))
-    limits = both.groupBy("key").agg(F.max("most").alias("most"))
-    uses = _uses(rows).select("u", F.xxhash64("level", "term").alias("key"))
+    limits = cut(both.groupBy("key").agg(F.max("most").alias("most")))
+    # only the terms that stand beside an entity are counted
+    uses = _uses(rows).select("u", F.xxhash64("level", "term").alias("key")).join(_few(limits.select("key"), BROADCAST_KEYS), "key", "left_semi")
     rough = uses.groupBy("key").agg(F.approx_count_distinct("u", 0.1).alias("about"))
     rare = cut(limits.join(rough, "key").filter(F.col("about") <= 2 * F.col("most") + 10).select("key"))
     counts = uses.join(_few(rare, BROADCAST_KEYS), "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("nt"))
     return both.join(counts, "key").filter(F.col("nt") <= F.col("most") + 1e-9).select("entity", "term").distinct()
 
 
-def _few(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table for a join: broadcast if it is counted as small, shuffled else."""
-    return F.broadcast(table) if table.count() <= most else table
+def _few(table: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """A written table for a join: broadcast if its rows, or their weights in bytes, are counted as few, shuffled else."""
+    size = table.agg(F.sum(weight)).first()[0] if weight is not None else table.count()
+    return F.broadcast(table) if (size or 0) <= most else table
 
 
 def _term_spans(rows: DataFrame, smoothing: float, alpha: float) -> DataFrame:
@@ -139,25 +167,31 @@ def _term_spans(rows: DataFrame, smoothing: float, alpha: float) -> DataFrame:
     pairs = cut(_pairs(rows))
     given_away = pairs.filter("level = 1").join(disclosing_terms(rows, pairs, smoothing=smoothing, alpha=alpha), ["entity", "term"])
     given_away = cut(given_away.groupBy(F.col("u").alias("h")).agg(F.collect_set("term").alias("terms")))
-    texts = rows.join(_few(given_away), "h").select("h", "text", "terms")
-    words = texts.withColumn("__w", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("__g", F.split("text", TERM, -1))
-    walk = f"""aggregate(sequence(1, size(__w)), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, i) -> named_struct(
-        'at', a.at + length(__g[i - 1]) + length(__w[i - 1]),
-        'out', case when array_contains(terms, lower(__w[i - 1])) then concat(a.out, array(named_struct('start', a.at + length(__g[i - 1]), 'kind', {len(KINDS)}, 'stop', a.at + length(__g[i - 1]) + length(__w[i - 1]), 'value', __w[i - 1]))) else a.out end), a -> a.out)"""
-    return cut(words.select("h", F.expr(f"case when size(__w) > 0 then {walk} else cast(array() as array<{SPAN}>) end").alias("terms")).dropDuplicates(["h"]))
+    length = F.expr("aggregate(terms, 32L, (a, t) -> a + 16 + octet_length(t))")
+    texts = rows.join(_few(given_away, BROADCAST_BYTES, length), "h").select("h", "text", "terms")
+    words = texts.select("h", "terms", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"), F.split("text", TERM, -1).alias("g"))
+    words = words.select("h", "terms", _once(F.expr(_placed("w", "g", len(KINDS))), "placed"))
+    # the terms by a hash, so that a word is looked up among a few
+    n = "cast(ceil(sqrt(size(terms))) as int)"
+    table = f"transform(sequence(0, {n} - 1), k -> filter(terms, t -> pmod(xxhash64(t), {n}) = k))"
+    found = f"transform(array({table}), held -> filter(placed, x -> array_contains(held[cast(pmod(xxhash64(lower(x.value)), {n}) as int)], lower(x.value))))[0]"
+    return cut(words.select("h", F.expr(found).alias("terms")).dropDuplicates(["h"]))
+
+
+def _span_bytes(terms: str = "terms") -> Column:
+    return F.expr(f"aggregate({terms}, 32L, (a, t) -> a + 48 + octet_length(t.value))")
 
 
-def _apart(terms: str, base: str) -> Column:
-    """Term spans that touch no base span."""
-    return F.coalesce(F.expr(f"filter({terms}, t -> not exists({base}, b -> b.start < t.stop and t.start < b.stop))"), F.array().cast(f"array<{SPAN}>"))
+def _public(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop", "value")]))
 
 
 def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
     """doc_id, h (the text's hash), base and terms of each row: arrays of start, kind (place in KINDS, or their number for a term), stop and value, in code points."""
     rows = _rows(docs, doc_id, text)
     base = cut(_base(rows, ["doc_id", "h"]))
-    joined = base.join(_few(_term_spans(rows, smoothing, alpha)), "h", "left")
-    return joined.select("doc_id", "h", "base", _apart("terms", "base").alias("terms"))
+    joined = base.join(_few(_term_spans(rows, smoothing, alpha), BROADCAST_BYTES, _span_bytes()), "h", "left")
+    return joined.select("doc_id", "h", "base", F.expr(_apart("terms", "base")).alias("terms")).select("doc_id", "h", _public("base").alias("base"), _public("terms").alias("terms"))
 
 
 def describe(spans: str) -> Column:
@@ -169,14 +203,24 @@ def describe(spans: str) -> Column:
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
     """``docs`` with all columns; in the text each span is replaced by its kind in brackets, overlapping ones by the first."""
     rows = _rows(docs, doc_id, text)
-    terms = _term_spans(rows, smoothing, alpha).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
-    held = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).withColumn("__h0", F.xxhash64("__t"))
-    held = _base(held, [*docs.columns, "__t", "__h0"], text="__t", out="__base").join(_few(terms), F.col("__h0") == F.col("__h"), "left")
-    held = held.withColumn("__spans", F.array_sort(F.concat("__base", _apart("__terms", "__base"))))
+    terms = _few(_term_spans(rows, smoothing, alpha), BROADCAST_BYTES, _span_bytes())
+    # the row is one column here, so that its names clash with none
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), t.alias("text"), F.xxhash64(t).alias("h"))
+    held = _base(held, ["row", "text", "h"]).join(terms, "h", "left")
+    held = held.select("row", "text", F.col("base"), F.expr(_apart("terms", "base")).alias("terms")).select("row", "text", F.array_sort(F.concat("base", "terms")).alias("spans"))
     names = ", ".join(f"'[{k}]'" for k in KINDS)
     label = f"case when x.kind < {len(KINDS)} then element_at(array({names}), x.kind + 1) when x.value rlike '^\\\\p{{N}}+$' then '[number]' else '[term]' end"
-    new = f"""aggregate(__spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> case
-        when x.start >= a.at then named_struct('at', x.stop, 'out', concat(a.out, array(substring(__t, a.at + 1, x.start - a.at), {label})))
-        else named_struct('at', greatest(a.at, x.stop), 'out', a.out) end,
-        a -> concat(array_join(a.out, ''), substring(__t, a.at + 1)))"""
-    return held.select(*[F.expr(f"case when size(__spans) = 0 then `{text}` else {new} end").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    # what the spans before a block cover, in code points and bytes
+    far = "named_struct('at', greatest(a.at, spans[i].stop), 'byte', greatest(a.byte, spans[i].byte + octet_length(spans[i].value)))"
+    ends = _blocks("spans", f"array(aggregate(sequence(lo, hi - 1), named_struct('at', 0, 'byte', 0), (a, i) -> {far}))")
+    starts = f"aggregate({ends}, named_struct('at', 0, 'byte', 0, 'out', cast(array() as array<struct<at:int,byte:int>>)), (a, x) -> named_struct('at', greatest(a.at, x.at), 'byte', greatest(a.byte, x.byte), 'out', concat(a.out, array(named_struct('at', a.at, 'byte', a.byte)))), a -> concat(a.out, array(named_struct('at', a.at, 'byte', a.byte))))"
+    piece = f"array(cast(substring(raw, a.byte + 1, x.byte - a.byte) as string), {label})"
+    body = f"""aggregate(slice(spans, lo + 1, hi - lo), named_struct('at', begin[k].at, 'byte', begin[k].byte, 'out', cast(array() as array<string>)), (a, x) -> named_struct(
+        'at', greatest(a.at, x.stop), 'byte', greatest(a.byte, x.byte + octet_length(x.value)), 'out', case when x.start >= a.at then concat(a.out, {piece}) else a.out end), a -> a.out)"""
+    rest = "cast(substring(raw, element_at(begin, -1).byte + 1) as string)"
+    new = f"transform(array(cast(text as binary)), raw -> transform(array({starts}), begin -> concat(array_join({_blocks('spans', body)}, ''), {rest}))[0])[0]"
+    changed = F.expr(f"case when size(spans) > 0 then {new} end")
+    at = docs.columns.index(text)
+    out = held.select("row", F.coalesce(changed, F.col(f"row.c{at}").cast("string")).cast(docs.schema[text].dataType).alias("new"))
+    return out.select(*[F.col("new").alias(c) if i == at else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
