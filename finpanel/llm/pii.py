@@ -150,8 +150,8 @@ def disclosing_terms(rows: DataFrame, pairs: DataFrame, *, smoothing: float = 1.
     limits = cut(both.groupBy("key").agg(F.max("most").alias("most")))
     # only the terms that stand beside an entity are counted
     uses = _uses(rows).select("u", F.xxhash64("level", "term").alias("key")).join(_few(limits.select("key"), BROADCAST_KEYS), "key", "left_semi")
-    rough = uses.groupBy("key").agg(F.approx_count_distinct("u", 0.1).alias("about"))
-    rare = cut(limits.join(rough, "key").filter(F.col("about") <= 2 * F.col("most") + 10).select("key"))
+    rough = uses.groupBy("key").agg(F.approx_count_distinct("u", 0.2).alias("about"))
+    rare = cut(limits.join(rough, "key").filter(F.col("about") <= 3 * F.col("most") + 20).select("key"))
     counts = uses.join(_few(rare, BROADCAST_KEYS), "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("nt"))
     return both.join(counts, "key").filter(F.col("nt") <= F.col("most") + 1e-9).select("entity", "term").distinct()
 
