@@ -308,3 +308,12 @@ def test_a_text_of_many_spans(spark):
     began = time.time()
     r = pii._base(pii._rows(docs, "doc_id", "text"), ["doc_id"]).select("doc_id", pii._public("base").alias("base")).first()
     assert [tuple(s) for s in r.base] == base_spans(text) and time.time() - began < 60
+
+
+def test_whole_licences_are_found(spark):
+    """The standard texts, with their disclaimers and a copyright line, in paragraphs."""
+    full = [(n, x) for n, x in licences.TEMPLATES if n in ("BSD-3-Clause", "BSD-2-Clause", "ISC") and "DAMAGE" in x]
+    assert len(full) == 3
+    rows = [(i, "Copyright (c) 2020 The Authors\n\n" + x.replace(" THIS ", "\n\nTHIS ").replace(" THE SOFTWARE", "\n\nTHE SOFTWARE").replace(" 2. ", "\n\n2. ")) for i, (_, x) in enumerate(full)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(full)}
