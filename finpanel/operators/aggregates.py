@@ -149,9 +149,9 @@ def seasonality(returns: DataFrame, *, key: str) -> DataFrame:
     return returns.groupBy(key, F.month("date").alias("month")).agg(F.avg("ret").alias("mean_ret"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), F.avg((F.col("ret") < 0).cast("double")).alias("negative"))
 
 
-def year_month_matrix(returns: DataFrame) -> DataFrame:
-    """A-25 and U-4: a row for each year and a column for each month with the summed return."""
-    return returns.groupBy(F.year("date").alias("year")).pivot("m", list(range(1, 13))).agg(F.sum("ret"))
+def year_month_matrix(returns: DataFrame, *, key: str | None = None) -> DataFrame:
+    """A-25 and U-4: a row for each year, and for each key in it, and a column for each month with the summed return."""
+    return returns.groupBy(*([key] if key else []), F.year("date").alias("year")).pivot("m", list(range(1, 13))).agg(F.sum("ret"))
 
 
 def bin_stats(rows: DataFrame, bin_: str, value: str) -> DataFrame:

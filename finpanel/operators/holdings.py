@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import blank_to_null, over, require_columns, safe_div
@@ -27,30 +28,38 @@ class HoldingsSpec:
         require_columns(df, *[c for c in (self.investor, self.report_date, self.filing, self.asset, self.value, self.category) if c])
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir; where none is named, as in tests, in a temporary one."""
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is named, as in tests, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        named = tempfile.mkdtemp(prefix="finpanel-")
     if not sc.getCheckpointDir():
-        import tempfile
+        sc.setCheckpointDir(named)
+    return named
+
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="finpanel-"))
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in that folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def degree_filter(pairs: DataFrame, *, least_assets: int, least_investors: int, rounds: int = 50) -> tuple[DataFrame, list[tuple[int, int]]]:
+def degree_filter(pairs: DataFrame, *, least_assets: int, least_investors: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """P-18: drops investors with too few assets and assets with too few investors, for each report date, until nothing changes; returns the pairs and each round's number of them.
 
-    All dates go through one plan; a round is two aggregates and semi joins, checkpointed, and one count.
+    All dates go through one plan; a round is two aggregates and semi joins, checkpointed, and one count. Each round but
+    the last drops a pair at least, so the loop ends.
     """
     now, log = pairs, [(0, pairs.count())]
-    for i in range(1, rounds + 1):
+    while len(log) < 2 or log[-1][1] != log[-2][1]:
         rich = now.groupBy("report_date", "investor").agg(F.countDistinct("asset").alias("d")).filter(F.col("d") >= least_assets)
         now = now.join(rich, ["report_date", "investor"], "left_semi")
         wide = now.groupBy("report_date", "asset").agg(F.countDistinct("investor").alias("d")).filter(F.col("d") >= least_investors)
         now = _checkpoint(now.join(wide, ["report_date", "asset"], "left_semi"))
-        log.append((i, now.count()))
-        if log[-1][1] == log[-2][1]:
-            break
+        log.append((len(log), now.count()))
     return now, log
 
 

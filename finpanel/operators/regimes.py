@@ -116,7 +116,8 @@ def reweight(scenarios: DataFrame, views: list[tuple[Column, float]], *, p: str
     if not settled:
         return scenarios.withColumn("q", F.col(p))
     q = F.col(p) * F.exp(sum((F.lit(float(v)) * (z[i] - float(goal[i])) for i, v in enumerate(lam)), F.lit(0.0)))
-    return scenarios.withColumn("__q", q).withColumn("q", F.col("__q") / F.sum("__q").over(Window.partitionBy())).drop("__q")
+    total = scenarios.agg(F.sum(q).alias("__total"))
+    return scenarios.crossJoin(F.broadcast(total)).withColumn("q", q / F.col("__total")).drop("__total")  # one row
 
 
 def relative_entropy(rows: DataFrame, *, p: str = "p", q: str = "q", key: str | None = None) -> DataFrame:
@@ -178,7 +179,10 @@ def resample(rows: DataFrame, draws: int, length: int, *, key: str, by: str = "d
     n = rows.withColumn("__i", F.row_number().over(over(key, by=by)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     draw = rows.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
     start = _draw(F.col("draw"), seed, F.greatest(F.col("__n") - length + 1, F.lit(1)))
-    x = n.crossJoin(F.broadcast(draw)).withColumn("__s", start).filter((F.col("__i") >= F.col("__s")) & (F.col("__i") < F.col("__s") + length))  # draws are a parameter
+    # each key's draws name the rows they take, and meet them by equality
+    sizes = n.select(key, "__n").distinct().crossJoin(F.broadcast(draw)).withColumn("__s", start)  # draws are a parameter
+    taken = sizes.select(key, "draw", F.explode(F.sequence(F.col("__s").cast("int"), (F.col("__s") + length - 1).cast("int"))).alias("__i"))
+    x = n.join(taken, [key, "__i"])
     x = x.withColumn("__k", F.concat_ws("|", key, "draw"))
     tail = cvar_quantile(x, 0.95, key="__k", value=ret)
     g = x.groupBy("__k", key, "draw").agg(F.avg(ret).alias("mean")).join(tail, "__k").drop("__k")

@@ -17,10 +17,12 @@ def risk_return(returns: DataFrame, *, rf: float = 0.0, key: str = "asset", ret:
 
 
 def covariance(returns: DataFrame, *, key: str = "asset", by: str = "date", ret: str = "ret") -> DataFrame:
-    """D-2: sample covariance and correlation of each pair of assets on their common dates, both triangles."""
+    """D-2: sample covariance and correlation of each pair of assets on their common dates, both triangles; one is computed."""
     a = returns.select(F.col(by), F.col(key).alias("i"), F.col(ret).alias("x"))
     b = returns.select(F.col(by), F.col(key).alias("j"), F.col(ret).alias("y"))
-    return a.join(b, by).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    half = a.join(b, by).filter("i <= j").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select(F.explode(sides).alias("p"), "cov", "corr", "n").select("p.i", "p.j", "cov", "corr", "n")
 
 
 def score_portfolios(weights: DataFrame, table: DataFrame, cov: DataFrame, *, rf: float = 0.0) -> DataFrame:
@@ -217,9 +219,10 @@ def crisis_drawdowns(returns: DataFrame, periods: DataFrame, *, key: str, by: st
     return x.groupBy(key, "period").agg((F.max_by("e", by) - 1).alias("ret"), F.least(F.min("d"), F.lit(0.0)).alias("max_dd"))
 
 
-def fold_table(daily: DataFrame, *, fold: str, ret: str = "ret", lev: str = "lev") -> DataFrame:
-    """D-29: return, days, rebalances and mean leverage of each fold."""
-    return daily.groupBy(fold).agg((F.product(1 + F.col(ret)) - 1).alias("fold_ret"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("turn") > 0).alias("rebalances"), F.avg(lev).alias("avg_lev"))
+def fold_table(daily: DataFrame, *, fold: str, key: str | None = None, ret: str = "ret", lev: str = "lev") -> DataFrame:
+    """D-29: return, days, rebalances and mean leverage of each fold, and of each key in it."""
+    keys = [key, fold] if key else [fold]
+    return daily.groupBy(*keys).agg((F.product(1 + F.col(ret)) - 1).alias("fold_ret"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("turn") > 0).alias("rebalances"), F.avg(lev).alias("avg_lev"))
 
 
 def crash_rate(returns: DataFrame, *, key: str, by: str, ret: str = "ret", size: int = 12, limit: float = 0.2) -> DataFrame:

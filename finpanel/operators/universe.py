@@ -23,10 +23,12 @@ def is_stale(volume: Column, before: Column, ret: Column) -> Column:
     return (z(volume) == 0) & (z(before) == 0) & (F.abs(z(ret)) < 1e-10)
 
 
-def whitelist(panel: DataFrame, *, flag: str | None = None, column: str | None = None, values: list[str] | None = None) -> DataFrame:
-    """F-3: rows whose flag is true and whose column has one of the values."""
+def whitelist(panel: DataFrame, *, flag: str | None = None, column: str | None = None, values: list[str] | None = None, keep: Column | None = None) -> DataFrame:
+    """F-3: rows whose flag is true and whose column has one of the values, or for which ``keep`` holds."""
     if flag:
         panel = panel.filter(F.coalesce(F.col(flag), F.lit(False)))
+    if keep is not None:
+        panel = panel.filter(keep)
     return panel.filter(F.col(column).isin(values)) if column else panel
 
 

@@ -87,8 +87,7 @@ def _(t):
 
 @query("f3_whitelist", "assetid symbol exchange_name", "meta", "SELECT * FROM meta WHERE is_operating_company AND exchange_name IN ('NATION_1', 'FRANCE', 'CHINA', 'JAPAN', 'GERMANY', 'CANADA', 'BRAZIL') OR is_operating_company AND exchange_name LIKE '%1%'")
 def _(t):
-    keep = [r[0] for r in t.raw("nation").select("n_name").collect() if r[0] in ("NATION_1", "FRANCE", "CHINA", "JAPAN", "GERMANY", "CANADA", "BRAZIL") or "1" in r[0]]  # the names of nations
-    return universe.whitelist(t.meta, flag="is_operating_company", column="exchange_name", values=keep)
+    return universe.whitelist(t.meta, flag="is_operating_company", keep=F.col("exchange_name").isin("NATION_1", "FRANCE", "CHINA", "JAPAN", "GERMANY", "CANADA", "BRAZIL") | F.col("exchange_name").contains("1"))
 
 
 def stages():

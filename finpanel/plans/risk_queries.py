@@ -188,9 +188,9 @@ def _(t):
     return R.crisis_drawdowns(small_returns(t), p, key="asset")
 
 
-@query("d29_fold_table", "fold# fold_ret~8 days rebalances avg_lev~8", "returns", "SELECT year(date) AS fold, product(1 + ret) - 1 AS fold_ret, count(*) AS days, count(*) FILTER (turn > 0) AS rebalances, avg(lev) AS avg_lev FROM lv WHERE asset = '1-URGENT' GROUP BY year(date)", rk=RANKED, lv=LEV)
+@query("d29_fold_table", "asset fold# fold_ret~8 days rebalances avg_lev~8", "returns", "SELECT asset, year(date) AS fold, product(1 + ret) - 1 AS fold_ret, count(*) AS days, count(*) FILTER (turn > 0) AS rebalances, avg(lev) AS avg_lev FROM lv GROUP BY asset, year(date)", rk=RANKED, lv=LEV)
 def _(t):
-    return R.fold_table(levered(t).filter("asset = '1-URGENT'").withColumn("fold", F.year("date")), fold="fold")
+    return R.fold_table(levered(t).withColumn("fold", F.year("date")), fold="fold", key="asset")
 
 
 @query("p10_crash_rate", "asset crash_rate~9", "returns", "SELECT asset, avg(r) AS crash_rate FROM (SELECT asset, shift, avg(CAST(dd < -0.2 AS DOUBLE)) AS r FROM (SELECT asset, shift, block, count(*) AS n, min(e / greatest(m, 1) - 1) AS dd FROM (SELECT *, max(e) OVER w AS m FROM (SELECT asset, shift, block, date, product(1 + ret / 100) OVER w AS e FROM (SELECT *, (rn - shift) // 12 AS block FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS rn FROM returns), range(12) s(shift) WHERE rn >= shift) WINDOW w AS (PARTITION BY asset, shift, block ORDER BY date ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY asset, shift, block ORDER BY date ROWS UNBOUNDED PRECEDING)) GROUP BY ALL HAVING count(*) = 12) GROUP BY ALL) GROUP BY asset")

@@ -43,3 +43,51 @@ def _(t):
 def _(t):
     e = t.raw("events").select("event_type", F.from_json("props", "k int").alias("p"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k_sum"))
+
+
+def _written(t, df, name: str) -> str:
+    """A new folder below the one that all machines share, with a CSV copy of ``df``."""
+    import uuid
+
+    from finpanel.operators.holdings import _checkpoint_dir
+
+    path = f"{_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    S.write_csv(df, path)
+    return path
+
+
+PRICES = "SELECT l_suppkey AS assetid, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS turnover, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL"
+
+
+@query("s1_csv_panel", "is_delisted rows# days# volume~2 turnover~2", "", "SELECT assetid % 3 = 0 AS is_delisted, count(*) AS rows, count(DISTINCT date) AS days, sum(volume) AS volume, sum(turnover) AS turnover FROM p GROUP BY ALL", p=PRICES)
+def _(t):
+    """The given trades as two folders of bar files, read back as one panel."""
+    day = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("assetid"), F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("turnover"), F.sum("l_quantity").alias("volume"))
+    bars = day.select("assetid", *[F.col(c) if c in ("date", "volume", "turnover") else F.lit(None).cast("double").alias(c) for c in S.BARS.names])
+    listed, gone = (_written(t, bars.filter(f"assetid % 3 {op} 0").drop("assetid"), name) for op, name in (("<>", "listed"), ("=", "delisted")))
+    return S.csv_panel(t.spark, listed, gone).groupBy("is_delisted").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("days"), F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"))
+
+
+@query("s12_fx_series", "date pair currency close~6", "market", "SELECT date, 'EURUSD' AS pair, 'USD' AS currency, mean_price AS close FROM market")
+def _(t):
+    """The daily mean price as a currency pair's file."""
+    m = t.market.select("date", *[F.col("mean_price").alias(c) for c in ("open", "high", "low", "close")])
+    return S.fx_series(t.spark, _written(t, m, "fx"), "EURUSD")
+
+
+@query("s8_csv_sink", "assetid date turnover volume", "", "SELECT l_suppkey AS assetid, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS turnover, l_quantity AS volume FROM lineitem")
+def _(t):
+    """All trades written as CSV and read back."""
+    path = _written(t, t.raw("lineitem").select(F.col("l_suppkey").alias("assetid"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").cast("double").alias("turnover"), F.col("l_quantity").cast("double").alias("volume")), "sink")
+    return t.spark.read.schema("assetid long, date date, turnover double, volume double").option("header", True).csv(path)
+
+
+@query("s9_manifest_audit", "status files# bytes#", "", "SELECT CASE WHEN page_id % 7 = 0 THEN 'unsafe' WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 3 = 0 THEN 'size' ELSE 'ok' END AS status, count(*) AS files, sum(coalesce(strlen(html), 0) + CASE WHEN page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0 THEN 1 ELSE 0 END) AS bytes FROM pages GROUP BY ALL")
+def _(t):
+    """Each page as a file: its path below a root and its size in the manifest, and what the root lists."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    p = t.raw("pages").select("page_id", size.alias("length"), F.format_string("%02d/%d.html", F.col("page_id") % 16, F.col("page_id")).alias("relative_path"))
+    wrong = (F.col("page_id") % 3 == 0) & (F.col("page_id") % 5 != 0) & (F.col("page_id") % 7 != 0)
+    entry = F.struct(F.lit("pages").alias("table"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("../"), "relative_path")).otherwise(F.col("relative_path")).alias("relative_path"), (F.col("length") + wrong.cast("long")).alias("bytes"))
+    audit = S.manifest_audit(p.select(F.array(entry).alias("table_files")), p.filter("page_id % 5 <> 0").select("relative_path", "length"))
+    return audit.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))

@@ -121,10 +121,10 @@ def _(t):
     return A.seasonality(t.returns, key="asset")
 
 
-@query("a25_year_month_matrix", "year# m1~6 m2~6 m6~6 m12~6", "returns", "SELECT year(date) AS year, " + ", ".join(f"sum(ret) FILTER (month(date) = {m}) AS m{m}" for m in (1, 2, 6, 12)) + " FROM returns WHERE asset = '1-URGENT' GROUP BY ALL")
+@query("a25_year_month_matrix", "asset year# " + " ".join(f"m{m}~6" for m in range(1, 13)), "returns", "SELECT asset, year(date) AS year, " + ", ".join(f"sum(ret) FILTER (month(date) = {m}) AS m{m}" for m in range(1, 13)) + " FROM returns GROUP BY ALL")
 def _(t):
-    wide = A.year_month_matrix(t.returns.filter("asset = '1-URGENT'").withColumn("m", F.month("date")))
-    return wide.select("year", *[F.col(str(m)).alias(f"m{m}") for m in (1, 2, 6, 12)])
+    wide = A.year_month_matrix(t.returns.withColumn("m", F.month("date")), key="asset")
+    return wide.select("asset", "year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
 
 
 @query("a30_selection_counts", "legs avg_n~6 min_n", "features", "SELECT count(*) AS legs, avg(n) AS avg_n, min(n) AS min_n FROM (SELECT ym, count(*) AS n FROM features WHERE mom_6 IS NOT NULL GROUP BY ym)")

@@ -207,6 +207,13 @@ def test_degree_filter_stops_at_a_fixed_point(spark):
     assert {(r.investor, r.asset) for r in left.collect()} == {(i, a) for i in ("i1", "i2") for a in ("a1", "a2")} and [n for _, n in log] == [5, 4, 4]
 
 
+def test_degree_filter_unravels_a_long_chain(spark):
+    """A chain of 24 links loses its ends in each round, until nothing is left."""
+    rows = [("q", f"i{n}", f"a{n + d}") for n in range(12) for d in (0, 1)]
+    left, log = holdings.degree_filter(frame(spark, rows, "report_date string, investor string, asset string"), least_assets=2, least_investors=2)
+    assert left.count() == 0 and len(log) > 5
+
+
 def test_profiles(spark):
     p = {r["name"]: r for r in aggregates.schema_profile(frame(spark, [("A", 1.0), (None, 2.0), ("B", None)], "asset string, value double")).collect()}
     assert p["asset"].nulls == 1 and p["value"].null_pct == pytest.approx(100 / 3)
