@@ -1,9 +1,9 @@
 """A quality classifier from weak labels.
 
-Overlapping heuristic labellers look at every whole text and vote for good, for bad, or not at all. The votes of all
-documents become counts of vote patterns (at most 3 to the 9th), and expectation-maximisation over these counts
-estimates how often each labeller votes how on good and on bad documents. The posterior of a document's pattern is its
-soft label. Soft labels of a bounded sample of rows train a linear scorer on hashed pairs of neighbouring bytes and
+Overlapping heuristic labellers look at every whole text, and each votes for good, for bad, or not at all by its own
+measure alone, so that their votes meet and conflict. The votes of all documents become counts of vote patterns (at most
+3 to the 8th), and expectation-maximisation over these counts estimates how often each labeller votes how on good and on
+bad documents, and so how far it can be trusted. The posterior of a document's pattern is its soft label. Soft labels of a bounded sample of rows train a linear scorer on hashed pairs of neighbouring bytes and
 on the levels of the labellers' measures, hashed alike, and the scorer judges every document.
 
 The sample is the only part that doesn't cover all rows: about ``sample_rows`` rows, picked by a hash of id and text,
@@ -33,8 +33,8 @@ UPPER = np.array([65 <= i <= 90 for i in range(256)])
 LETTER = np.array([65 <= i <= 90 or 97 <= i <= 122 or i >= 128 for i in range(256)])
 ALPHA = np.array([48 <= i <= 57 for i in range(256)]) | LETTER
 STOP = np.array([chr(i) in ".?!" for i in range(256)])
-#: Labellers: the measure that each looks at, and above which value it votes for bad; below that it has no vote.
-#: One more labeller, the last, votes for good if a text is plain in all of them (below the second value) and has words.
+#: Labellers: the measure that each looks at, above which value it votes for bad, and below which one for good; between
+#: the two it has no vote.
 LABELLERS = (
     ("odd", 0.12, 0.08),  # words with an odd symbol
     ("shouting", 0.5, 0.2),  # capitals among ASCII letters
@@ -45,7 +45,7 @@ LABELLERS = (
     ("endless", 150.0, 100.0),  # words for each full stop
     ("long", 15.0, 13.0),  # mean characters of a word
 )
-VOTERS = len(LABELLERS) + 1
+VOTERS = len(LABELLERS)
 #: Levels into which a measure falls, as shares of its bad value.
 LEVELS = np.array([0.02, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 1.0, 1.5])
 RESULT = "doc_id {id}, votes array<int>, posterior double, score double, keep boolean"
@@ -94,16 +94,13 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def vote(measured: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Votes by labeller and document: 0 none, 1 good, 2 bad. Texts of fewer than 20 words aren't judged by repetition."""
+    """Votes by labeller and document: 0 none, 1 good, 2 bad. Repetition and stops don't judge texts of fewer than 20 words."""
     out = np.zeros((VOTERS, measured.shape[1]), dtype=np.int8)
-    plain = n_words > 0
     for i, (name, bad, good) in enumerate(LABELLERS):
-        fires = measured[i] > bad
+        out[i][measured[i] < good] = 1
+        out[i][measured[i] > bad] = 2
         if name in ("repeating", "endless"):
-            fires &= n_words >= 20
-        out[i][fires] = 2
-        plain &= ~fires & ((measured[i] < good) | (n_words < 20) & (name in ("repeating", "endless")))
-    out[-1][plain] = 1
+            out[i][n_words < 20] = 0
     out[:, n_words == 0] = 0
     return out
 
@@ -118,35 +115,43 @@ def unpattern(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Labels:
-    """What EM found: the share of good documents and each labeller's vote probabilities on bad (0) and good (1) ones."""
+    """What EM found: the share of good documents, and how often each labeller that votes says good on bad (0) and good (1) ones."""
 
     good: float
-    table: np.ndarray
+    says_good: np.ndarray
     rounds: int
 
     def posterior(self, codes: np.ndarray) -> np.ndarray:
-        votes = unpattern(codes)
-        logs = np.log(self.table)
+        """The probability that a document of each pattern is good; a labeller without a vote says nothing about it."""
+        votes, logs = unpattern(codes), np.log(np.stack([np.ones_like(self.says_good), self.says_good, 1 - self.says_good], axis=2))
         bad = np.log(1 - self.good) + sum(logs[i, 0, votes[i]] for i in range(len(votes)))
         good = np.log(self.good) + sum(logs[i, 1, votes[i]] for i in range(len(votes)))
         return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
+    def accuracy(self) -> np.ndarray:
+        """How often each labeller's vote is right, by the share of both kinds of documents."""
+        return self.good * self.says_good[:, 1] + (1 - self.good) * (1 - self.says_good[:, 0])
 
-def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Labels:
-    """Two classes, votes independent given the class; starts from the majority of the votes that there are."""
+
+def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, *, wrong: float = 0.001, belief: float = 10.0, rounds: int = 300) -> Labels:
+    """Two classes, votes independent given the class, having none independent of it.
+
+    Each labeller looks for one fault only, so texts with a vote for bad start as bad; the rounds then weigh each vote
+    against the others by the rates they find. The prior, which counts ``belief`` times the corpus at every size, is that
+    a labeller finds its fault on the share ``wrong`` of good texts; on bad ones it may find it as often as it likes.
+    """
     votes = unpattern(codes)
-    bad, good = (votes == 2).sum(axis=0), (votes == 1).sum(axis=0)
-    post = np.where(bad > good, 0.05, np.where(good > bad, 0.95, 0.8))
+    post = np.where((votes == 2).any(axis=0), 0.05, 0.95)
     weights = counts.astype(float)
-    found = Labels(0.5, np.full((len(votes), 2, 3), 1 / 3), 0)
+    total = max(weights.sum(), 1.0)
+    found = Labels(0.5, np.full((len(votes), 2), 0.5), 0)
     for i in range(rounds):
-        table = np.empty((len(votes), 2, 3))
-        for c, share in ((0, weights * (1 - post)), (1, weights * post)):
+        rates = np.empty((len(votes), 2))
+        for c, share, prior in ((0, weights * (1 - post), 0.0), (1, weights * post, belief * total)):
             for j in range(len(votes)):
-                table[j, c] = np.bincount(votes[j], weights=share, minlength=3) + 1
-            table[:, c] /= table[:, c].sum(axis=1, keepdims=True)
-        total = max(weights.sum(), 1.0)
-        found = Labels(float(np.clip((weights * post).sum() / total, 1e-6, 1 - 1e-6)), table, i + 1)
+                n = np.bincount(votes[j], weights=share, minlength=3)
+                rates[j, c] = (n[1] + prior * (1 - wrong) + 1) / (n[1] + n[2] + prior + 2)
+        found = Labels(float(np.clip((weights * post).sum() / total, 1e-6, 1 - 1e-6)), rates, i + 1)
         new = found.posterior(codes)
         if np.abs(new - post).max(initial=0) < 1e-6:
             break
@@ -284,7 +289,7 @@ def _judge(s: Scorer | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
 
 
 def score_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
-    """doc_id, votes (1 good, -1 bad, 0 none, in the order of LABELLERS and then for plain), posterior, score and keep of each row."""
+    """doc_id, votes (1 good, -1 bad, 0 none, in the order of LABELLERS), posterior, score and keep of each row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id=doc_id, text=text, sample_rows=sample_rows))
 

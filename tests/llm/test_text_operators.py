@@ -186,15 +186,58 @@ def test_quality(spark, odd):
 
 
 def test_expectation_maximisation_recovers_rates():
+    """Measures drawn for good and bad texts, votes made by ``vote``: conflicting votes, and the rates they were drawn with."""
     rng = np.random.default_rng(1)
     good = rng.random(20000) < 0.8
-    votes = np.zeros((weaklabel.VOTERS, len(good)), dtype=np.int8)
-    for i in range(weaklabel.VOTERS - 1):
-        votes[i] = np.where(rng.random(len(good)) < np.where(good, 0.02, 0.5), 2, 0)
-    votes[-1] = np.where(rng.random(len(good)) < np.where(good, 0.9, 0.1), 1, 0)
+    rates = np.linspace(0.3, 0.8, weaklabel.VOTERS)
+    measured = np.empty((weaklabel.VOTERS, len(good)))
+    for i, (_, bad_at, good_at) in enumerate(weaklabel.LABELLERS):
+        u = rng.random(len(good))
+        fault = u < np.where(good, 0.01, rates[i])
+        measured[i] = np.where(fault, bad_at * 1.1, np.where(u > 0.95, (bad_at + good_at) / 2, good_at * 0.5))
+    votes = weaklabel.vote(measured, np.full(len(good), 50))
+    assert ((votes == 1).any(axis=0) & (votes == 2).any(axis=0)).sum() > 3000 and (votes == 0).any()
     codes, counts = np.unique(weaklabel.pattern(votes), return_counts=True)
-    found = weaklabel.expectation_maximisation(codes, counts)
-    assert abs(found.good - 0.8) < 0.02 and np.allclose(found.table[:-1, 0, 2], 0.5, atol=0.04) and np.allclose(found.table[:-1, 1, 2], 0.02, atol=0.02)
+    found = weaklabel.expectation_maximisation(codes, counts, belief=0.1, wrong=0.01)
+    assert abs(found.good - 0.8) < 0.02 and np.allclose(1 - found.says_good[:, 0], rates / 0.95, atol=0.05) and np.allclose(1 - found.says_good[:, 1], 0.01, atol=0.01)
+    post = found.posterior(weaklabel.pattern(votes))
+    assert ((post >= 0.5) == good).mean() > 0.98 and (found.accuracy() > 0.8).all()
+
+
+def test_expectation_maximisation_is_the_loop_over_documents():
+    """The rounds over pattern counts give what a plain loop over all documents and labellers gives."""
+    from math import prod
+
+    rng = np.random.default_rng(4)
+    votes = rng.choice(3, (weaklabel.VOTERS, 150), p=(0.2, 0.65, 0.15))
+    codes, counts = np.unique(weaklabel.pattern(votes), return_counts=True)
+    found = weaklabel.expectation_maximisation(codes, counts, belief=2.0, wrong=0.05, rounds=6)
+    docs = votes.T.tolist()
+    post = [0.05 if 2 in d else 0.95 for d in docs]
+    for _ in range(6):
+        rate = []
+        for j in range(weaklabel.VOTERS):
+            one = []
+            for c in (0, 1):
+                yes = sum(p if c else 1 - p for p, d in zip(post, docs, strict=True) if d[j] == 1)
+                no = sum(p if c else 1 - p for p, d in zip(post, docs, strict=True) if d[j] == 2)
+                one.append((yes + c * 300 * 0.95 + 1) / (yes + no + c * 300 + 2))
+            rate.append(one)
+        share = sum(post) / len(post)
+        like = [[prod((1, r[c], 1 - r[c])[v] for r, v in zip(rate, d, strict=True)) for c in (0, 1)] for d in docs]
+        post = [share * b / (share * b + (1 - share) * a) for a, b in like]
+    assert np.allclose(found.posterior(weaklabel.pattern(votes)), post, atol=1e-9)
+
+
+def test_quality_of_long_and_repeated_texts(spark, docs):
+    """A text of some megabytes is judged like its parts, and repeated rows alike."""
+    prose = " ".join(r.text for r in docs.filter("lang = 'en' and length(text) > 400").limit(5).collect())
+    shout = "BUY NOW!! CHEAP!! " * 30
+    rows = [(i, f"The {i}th plain sentence stands here and says little. It is followed by another one, which ends.") for i in range(60)] + [(100 + i, shout + str(i)) for i in range(10)]
+    table = spark.createDataFrame([*rows, (200, shout), (200, shout), (201, shout * 6000), (202, prose)], "doc_id long, text string")
+    got = {r.doc_id: r for r in weaklabel.score_quality(table).collect()}
+    assert not got[200].keep and not got[201].keep and got[5].keep and -1 in got[201].votes and 1 in got[201].votes
+    assert weaklabel.score_quality(table).filter("doc_id = 200").select("score").distinct().count() == 1
 
 
 def test_language(spark, docs, odd):
