@@ -127,10 +127,10 @@ def trade_log(done: DataFrame, grid: DataFrame, *, start: float = 25_000.0, leve
     x = trades.crossJoin(F.broadcast(grid))  # a few parameter sets
     out = "array<struct<date:date,shares:bigint,pnl:double,before:double,after:double,r:double>>"
     size = f"cast(greatest(0D, floor(least(a.cap * risk_share / t.risk, a.cap * {leverage}D / t.entry))) as bigint)"
-    pnl = f"({size} * (t.exit - t.entry) * t.dir - {size} * {commission}D * 2)"
-    fold = f"""aggregate(days, named_struct('cap', {start}D, 'log', cast(array() as {out})), (a, t) -> named_struct(
+    pnl = f"(n * (t.exit - t.entry) * t.dir - n * {commission}D * 2)"
+    fold = f"""aggregate(days, named_struct('cap', {start}D, 'log', cast(array() as {out})), (a, t) -> transform(array({size}), n -> named_struct(
         'cap', a.cap + {pnl},
-        'log', case when {size} >= 1 then concat(a.log, array(named_struct('date', t.date, 'shares', {size}, 'pnl', {pnl}, 'before', a.cap, 'after', a.cap + {pnl}, 'r', (t.exit - t.entry) * t.dir / t.risk))) else a.log end), a -> a.log)"""
+        'log', case when n >= 1 then concat(a.log, array(named_struct('date', t.date, 'shares', n, 'pnl', {pnl}, 'before', a.cap, 'after', a.cap + {pnl}, 'r', (t.exit - t.entry) * t.dir / t.risk))) else a.log end))[0], a -> a.log)"""
     return x.select("ticker", "param", F.explode(F.expr(fold)).alias("t")).select("ticker", "param", "t.*")
 
 

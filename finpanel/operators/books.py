@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
+from finpanel.operators.holdings import _checkpoint
 from finpanel.operators.joins import entries_exits
 from finpanel.operators.topk import top_bottom
 
@@ -97,8 +98,10 @@ def mark_to_market(book: DataFrame, prices: DataFrame, *, cost: float = 0.001, c
     """P-8: daily equity of each strategy's book (strategy, period, exec_date, next_date, assetid, leg, w).
 
     Within a holding interval every amount is proportional to equity, so E(t) = E_k (1 - c_k + sum of w (G(t) - 1)) with G
-    the growth of a position since execution: one distributed window product. What is folded in order, for each
-    strategy, is one number for each interval: its end growth and its turnover cost.
+    the growth of a position since execution: one distributed window product. The turnover cost of an interval is the sum
+    of abs(w - h / f), with h what a position was worth when the interval before ended and f that interval's growth. Bounds of f follow from sums
+    alone; a position whose difference keeps its sign within them is part of two sums, and only the few others, whose
+    own growth is as near to f as the cost, are folded in order, with a few numbers for each interval.
     """
     rate = F.when(F.col("leg") == "long", F.lit(1.0)).otherwise(F.lit(-1.0))
     p = book.join(prices.select("assetid", "date", "px", F.lag("px").over(over("assetid", by="date")).alias("px0")), "assetid").filter((F.col("date") > F.col("exec_date")) & (F.col("date") <= F.col("next_date")))
@@ -108,17 +111,28 @@ def mark_to_market(book: DataFrame, prices: DataFrame, *, cost: float = 0.001, c
     p = p.withColumn("g", F.product(step).over(Window.partitionBy(*own).orderBy("date").rowsBetween(*PAST)))
     day = p.groupBy("strategy", "period", "date").agg(F.sum(F.col("w") * (F.col("g") - 1)).alias("s"), F.count(F.lit(1)).alias("n_positions"))
     # weights that a period leaves behind, against the next one's
-    last = p.groupBy(*own).agg(F.max_by("g", "date").alias("g"), F.max("w").alias("w"))
+    last = _checkpoint(p.groupBy(*own).agg(F.max_by("g", "date").alias("g"), F.max("w").alias("w")))  # a row for each position, read four times
     left = last.groupBy("strategy", "period", "assetid").agg(F.sum(F.col("w") * F.col("g")).alias("held"))
     new = book.groupBy("strategy", "period", "assetid").agg(F.sum("w").alias("w"))
     sums = last.groupBy("strategy", "period").agg(F.sum(F.col("w") * (F.col("g") - 1)).alias("end"))
     both = new.join(left.withColumn("period", F.col("period") + 1), ["strategy", "period", "assetid"], "full_outer")
-    pairs = both.groupBy("strategy", "period").agg(F.collect_list(F.struct(F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("held", F.lit(0.0)).alias("h"))).alias("x")).join(sums, ["strategy", "period"])
-    steps = pairs.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("period", "end", "x"))).alias("k"))
-    fold = f"""aggregate(k, named_struct('e', {capital}D, 'f', 1D, 'out', cast(array() as array<struct<period:int,e:double,c:double>>)), (a, s) -> named_struct(
-        'e', a.e * (1 - {cost}D * aggregate(s.x, 0D, (t, v) -> t + abs(v.w - v.h / a.f)) + s.end),
-        'f', 1 - {cost}D * aggregate(s.x, 0D, (t, v) -> t + abs(v.w - v.h / a.f)) + s.end,
-        'out', concat(a.out, array(named_struct('period', s.period, 'e', a.e, 'c', {cost}D * aggregate(s.x, 0D, (t, v) -> t + abs(v.w - v.h / a.f)))))), a -> a.out)"""
-    starts = steps.select("strategy", F.explode(F.expr(fold)).alias("o")).select("strategy", F.col("o.period").alias("period"), F.col("o.e").alias("e"), F.col("o.c").alias("c"))
+    both = both.withColumns({"w": F.coalesce("w", F.lit(0.0)), "h": F.coalesce("held", F.lit(0.0))}).select("strategy", "period", "w", "h")
+    sums = both.groupBy("strategy", "period").agg(F.sum(F.abs("w")).alias("all_w"), F.sum(F.abs("h")).alias("all_h")).join(sums, ["strategy", "period"])
+    start = "cast(array() as array<struct<period:int,{}>>)"
+    # bounds of the growth before each interval; none (null) from where equity might be gone
+    bounds = f"""aggregate(k, named_struct('lo', 1D, 'hi', 1D, 'out', {start.format("lo:double,hi:double")}), (a, s) -> named_struct(
+        'lo', case when a.lo > 0 then 1 + s.end - {cost}D * (s.all_w + s.all_h / a.lo) end, 'hi', 1 + s.end,
+        'out', concat(a.out, array(named_struct('period', s.period, 'lo', case when a.lo > 0 then a.lo end, 'hi', a.hi)))), a -> a.out)"""
+    limits = sums.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("period", "end", "all_w", "all_h"))).alias("k")).select("strategy", F.inline(F.expr(bounds)))
+    at_lo, at_hi = F.col("w") - F.col("h") / F.col("lo"), F.col("w") - F.col("h") / F.col("hi")
+    sign = F.when(at_lo * at_hi >= 0, F.signum(at_lo + at_hi))
+    pairs = both.join(limits, ["strategy", "period"]).withColumn("sign", sign).groupBy("strategy", "period").agg(
+        F.coalesce(F.sum(F.col("sign") * F.col("w")), F.lit(0.0)).alias("sw"), F.coalesce(F.sum(F.col("sign") * F.col("h")), F.lit(0.0)).alias("sh"), F.collect_list(F.when(F.col("sign").isNull(), F.struct("w", "h"))).alias("x")
+    )
+    steps = pairs.join(sums.select("strategy", "period", "end"), ["strategy", "period"]).groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("period", "end", "sw", "sh", "x"))).alias("k"))
+    share = f"{cost}D * (s.sw - s.sh / a.f + aggregate(s.x, 0D, (t, v) -> t + abs(v.w - v.h / a.f)))"
+    fold = f"""aggregate(k, named_struct('e', {capital}D, 'f', 1D, 'out', {start.format("e:double,c:double")}), (a, s) -> transform(array({share}), c -> named_struct(
+        'e', a.e * (1 - c + s.end), 'f', 1 - c + s.end, 'out', concat(a.out, array(named_struct('period', s.period, 'e', a.e, 'c', c)))))[0], a -> a.out)"""
+    starts = steps.select("strategy", F.inline(F.expr(fold)))
     out = day.join(starts, ["strategy", "period"]).withColumn("equity", F.col("e") * (1 - F.col("c") + F.col("s")))
     return out.select("strategy", "period", "date", "n_positions", "equity", F.col("c").alias("cost_share"))
