@@ -1,6 +1,7 @@
 """Licence scan: Dice coefficients over word bigrams, with size bounds.
 
-A text's units are its lines, its paragraphs (between empty lines) and the whole text. Units and templates are
+A text's units are its lines, its paragraphs (between empty lines), runs of two to six neighbouring paragraphs with at
+least 40 words in all (a licence of several paragraphs above other text), and the whole text. Units and templates are
 lower-cased and cut into words of letters and digits; both are bags of word bigrams. A unit of a bigrams can reach a
 Dice coefficient t with a template of b bigrams only if b t / (2 - t) <= a <= b (2 - t) / t, so other templates are
 pruned before any bigram is compared. At least the share t / (2 - t) of a template's bigrams must occur in the unit,
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of public licences and of their usual notices.
@@ -61,6 +64,8 @@ TEMPLATES = (
 #: Words that hardly tell a licence from other prose.
 COMMON = frozenset("a all and any as at by for from in is it no not of on or other than that the this to under use version with without work nc nd sa".split())
 WORD = r"[\p{L}\p{N}]+"
+#: Most paragraphs of a run, and fewest words.
+RUN, RUN_WORDS = 6, 40
 
 
 def bigrams(text: str) -> Counter:
@@ -96,15 +101,20 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     needed = [w for w in needed if not any(v != w and v in w for v in needed)]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     lowered = F.lower("text")
-    some = F.lit(False)
-    for w in needed:
-        some = some | F.contains(lowered, F.lit(w))
-    held = rows.withColumn("lowered", lowered).filter(some).select("doc_id", "h", "lowered").dropDuplicates(["doc_id", "h"])
-    units = held.select("doc_id", "h", F.explode(F.array_distinct(F.concat(F.split("lowered", "\n"), F.split("lowered", r"\n\s*\n"), F.array("lowered")))).alias("unit"))
-    if_some = F.lit(False)
-    for w in needed:
-        if_some = if_some | F.contains("unit", F.lit(w))
-    words = units.filter(if_some).select("doc_id", "h", F.xxhash64("unit").alias("u"), F.regexp_extract_all("unit", F.lit(WORD), F.lit(0)).alias("w"))
+
+    def has_some(column: Column) -> Column:
+        return reduce(or_, (F.contains(column, F.lit(w)) for w in needed), F.lit(False))
+
+    held = rows.withColumn("lowered", lowered).filter(has_some(lowered)).select("doc_id", "h", "lowered").dropDuplicates(["doc_id", "h"])
+    held = held.withColumn("paragraphs", F.split("lowered", r"\n\s*\n"))
+    held = held.withColumn("sizes", F.when(F.size("paragraphs") > 2, F.transform("paragraphs", lambda p: F.struct(F.size(F.regexp_extract_all(p, F.lit(WORD), F.lit(0))).alias("n"), has_some(p).alias("some")))))
+    most = int(max(sizes) * high) + 2
+    # runs are chosen by their paragraphs' sizes and words before their texts are put together
+    runs = F.expr(f"""transform(filter(flatten(transform(sequence(2, least({RUN}, size(paragraphs) - 1)), k -> transform(sequence(1, size(paragraphs) - k + 1), i -> named_struct('i', i, 'k', k)))),
+        r -> exists(slice(sizes, r.i, r.k), p -> p.some) and aggregate(slice(sizes, r.i, r.k), 0, (t, p) -> t + p.n) between {RUN_WORDS} and {most}), r -> array_join(slice(paragraphs, r.i, r.k), '\\n\\n'))""")
+    all_units = F.concat(F.split("lowered", "\n"), F.col("paragraphs"), F.when(F.size("paragraphs") > 2, runs).otherwise(F.array().cast("array<string>")), F.array("lowered"))
+    units = held.select("doc_id", "h", F.explode(F.array_distinct(all_units)).alias("unit"))
+    words = units.filter(has_some(F.col("unit"))).select("doc_id", "h", F.xxhash64("unit").alias("u"), F.regexp_extract_all("unit", F.lit(WORD), F.lit(0)).alias("w"))
     a = F.size("w") - 1
     words = words.filter((a >= F.lit(min(sizes) * low - 1e-9)) & (a <= F.lit(max(sizes) * high + 1e-9)))
     grams = words.select("doc_id", "h", "u", a.alias("a"), F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")).alias("gram"))

@@ -160,7 +160,9 @@ ORACLE_SQL["op10_licences"] = rf"""
 WITH tw AS (SELECT i, licence, regexp_extract_all(lower(t), {WORDS_10}) AS w FROM (VALUES {", ".join(f"({i}, {_literal(n)}, {_literal(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))}) v(i, licence, t)),
 tg AS (SELECT i, licence, len(w) - 1 AS size, w[k] || ' ' || w[k + 1] AS gram, count(*) AS m FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tw) GROUP BY ALL),
 u AS (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id, unit FROM (
-  SELECT doc_id, unnest(list_concat(string_split(lower(text), chr(10)), list_concat(string_split_regex(lower(text), '\n\s*\n'), [lower(text)]))) AS unit FROM documents))),
+  SELECT doc_id, unnest(list_concat(list_concat(string_split(lower(text), chr(10)), p), list_concat([lower(text)], list_filter(
+    flatten([[array_to_string(p[i : i + k - 1], chr(10) || chr(10)) for i in range(1, len(p) - k + 2)] for k in range(2, least({licences.RUN}, len(p) - 1) + 1)]), lambda x: len(regexp_extract_all(x, {WORDS_10})) >= {licences.RUN_WORDS})))) AS unit
+  FROM (SELECT doc_id, text, string_split_regex(lower(text), '\n\s*\n') AS p FROM documents)))),
 uw AS (SELECT doc_id, u, regexp_extract_all(unit, {WORDS_10}) AS w FROM u),
 ug AS (SELECT doc_id, u, len(w) - 1 AS a, w[k] || ' ' || w[k + 1] AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w))) AS k FROM uw) GROUP BY doc_id, u, len(w), w[k] || ' ' || w[k + 1]),
 d AS (SELECT doc_id, u, licence, 2.0 * sum(least(n, m)) / (a + size) AS score FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, a, i, licence, size),

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,12 @@ def dice(a, b):
     return 2 * both / (sum(a.values()) + sum(b.values()))
 
 
+def paragraph_runs(t):
+    p = re.split(r"\n\s*\n", t)
+    runs = ["\n\n".join(p[i : i + k]) for k in range(2, min(6, len(p) - 1) + 1) for i in range(len(p) - k + 1)]
+    return [r for r in runs if len(re.findall(r"[^\W_]+", r)) >= 40]
+
+
 def test_licences(spark):
     extra = ["", None, "Released under the MIT License.", "RELEASED under, the MIT license!", "text\nLicensed under CC BY-NC 4.0.\nmore", licences.TEMPLATES[4][1].replace(". ", ".\n"), "the license of nothing", "Licensed under the Apache License, Version 2.0."]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(extra)], "doc_id long, text string, score double").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text", F.lit(0.5).alias("score")))
@@ -168,7 +175,7 @@ def test_licences(spark):
     for r in docs.collect():
         t = (r.text or "").lower()
         best = (0.0, None)
-        for unit in {*t.split("\n"), *re.split(r"\n\s*\n", t), t}:
+        for unit in {*t.split("\n"), *re.split(r"\n\s*\n", t), *paragraph_runs(t), t}:
             g = licences.bigrams(unit)
             for name, k in known:
                 if g and (s := dice(g, k)) >= 0.8:
@@ -317,3 +324,20 @@ def test_whole_licences_are_found(spark):
     rows = [(i, "Copyright (c) 2020 The Authors\n\n" + x.replace(" THIS ", "\n\nTHIS ").replace(" THE SOFTWARE", "\n\nTHE SOFTWARE").replace(" 2. ", "\n\n2. ")) for i, (_, x) in enumerate(full)]
     got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: n for i, (n, _) in enumerate(full)}
+
+
+def test_licences_of_several_paragraphs_among_other_text(spark):
+    """A licence in three paragraphs above and between other text is found, in operator and SQL alike; ties, repeats and nulls too."""
+    import duckdb
+
+    mit = licences.TEMPLATES[4][1].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n \nTHE SOFTWARE IS")
+    other = "This tool reads tables and writes reports.\n\nIt was made for people who like reports, and has many options which nobody has ever used, as far as anyone knows."
+    texts = [mit + "\n\n" + other, other + "\n\n" + mit + "\n\n" + other, mit, other, None, "", mit.replace("\n\n", "\n\n\n") + "\n\n" + other + "\n\n" + mit, "\n\n".join([other] * 40 + [mit] + [other] * 40), "\n\n".join("permission"[: i % 11] for i in range(3000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.licence, round(r.score, 6), r.n_units) for r in licences.scan(table).collect())
+    assert [(r[0], r[1]) for r in got] == [(0, "MIT"), (0, "MIT"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, "MIT"), (7, "MIT"), (8, None)]
+    with duckdb.connect() as db:
+        db.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+        want = db.execute(queries.ORACLE_SQL["op10_licences"]).fetchall()
+    assert got == sorted((d, n, float(s), u) for d, n, s, u in want)
