@@ -251,13 +251,65 @@ def test_language(spark, docs, odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
-def test_code_lengths_are_a_code():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(0, 3, (5, 5, 5)).astype(float)
-    counts[:, :, 4] = counts[4] = counts[:, 4] = 0
-    p = np.exp2(-langid.code_lengths(counts))
-    # four seen classes and 252 equally likely unseen bytes
-    assert np.allclose(p[:, :, :4].sum(axis=2) + 252 * p[:, :, 4], 1)
+def brute_bits(texts, share, order, context, byte):
+    """The code length of ``byte`` behind ``context`` by a plain PPM coder over dictionaries."""
+    tree = defaultdict(lambda: defaultdict(int))
+    for raw in texts:
+        padded = b"\n" * order + raw
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                tree[padded[i - k : i]][padded[i]] += 1
+    least, p, left_out = share * sum(tree[b""].values()), 1.0, set()
+    for k in range(order, -1, -1):
+        behind = tree.get(context[len(context) - k :], {})
+        if not behind or sum(behind.values()) < least:
+            continue
+        left = {x: n for x, n in behind.items() if x not in left_out}
+        if left:
+            total = sum(left.values()) + len(left)
+            if byte in left:
+                return -np.log2(p * left[byte] / total)
+            p *= len(left) / total
+        left_out |= set(behind)
+    return -np.log2(p / (256 - len(left_out)))
+
+
+@pytest.mark.parametrize(("order", "share"), [(2, 0.02), (4, 0.004), (4, 0.03), (6, 0.0)])
+def test_code_lengths(spark, order, share):
+    """Trees learned by Spark give the code lengths of a plain coder, and those of all bytes behind a context sum to one."""
+    texts = {"a": ["the cat sat on the mat", "that hat", "", "the cat sat", "ünï"], "b": ["zum zoo zum", "z", "the zoo"], "c": [""]}
+    table = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v] + [(None, "no"), ("a", None)], "lang string, text string")
+    coder = langid.learn(table.repartition(3), order=order, share=share)
+    assert coder.names == ["a", "b"]
+    for at, name in enumerate(coder.names):
+        raw = [t.encode() for t in texts[name]]
+        for context in (b"\n" * 6, b"the ca", b"on the", b"qqqqqq", b"\xc3\xbcn\xc3\xaf", b" the z", b"m zoo "):
+            tail = context[-order:].rjust(order, b"\n")
+            base = int.from_bytes(tail, "big") << 8
+            bits = coder.bits(np.arange(256, dtype=np.int64) | base, at)
+            assert np.isclose(np.exp2(-bits).sum(), 1)
+            want = [brute_bits(raw, share, order, tail, x) for x in range(256)]
+            assert np.allclose(bits, want)
+
+
+def test_language_is_the_shortest_code(spark):
+    """Whole texts, long ones among them, against the sum of plain code lengths; the share of a context bounds the tree."""
+    rows = [(i, t, k) for i, (k, t) in enumerate([("a", "the cat sat on the mat"), ("a", "that hat is flat"), ("b", "le chat est sur la natte"), ("b", "la table"), ("b", "la table")])]
+    asked = [(10, "the chat", None), (11, "la natte " * 300, None), (12, "flat hats", None), (13, "12", None), (14, "zq", None), (14, "zq", None)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, held_out=F.col("doc_id") >= 10, order=3, share=0.01).collect()}
+    for doc, text, _ in asked:
+        padded = b"\n" * 3 + text.encode()
+        cost = {k: sum(brute_bits([t.encode() for _, t, x in rows if x == k], 0.01, 3, padded[i - 3 : i], padded[i]) for i in range(3, min(len(padded), 40))) for k in "ab"}
+        if doc == 13:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        assert got[doc].lang_pred == min(cost, key=lambda k: (cost[k], k))
+        if len(padded) < 40:
+            assert np.isclose(got[doc].score, 1 / sum(2 ** (min(cost.values()) - c) for c in cost.values()))
+    long = spark.createDataFrame([("x", "abcdefghij" * 30000)], "lang string, text string")
+    small = langid.learn(long, order=5, share=0.05)
+    assert [len(level.context) for level in small.levels[0]] == [1, 10, 10, 10, 10, 10]
 
 
 @pytest.mark.parametrize("limit", [8 << 20, 0])
