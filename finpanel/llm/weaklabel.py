@@ -191,13 +191,24 @@ def features(data: np.ndarray, offsets: np.ndarray, bucket: np.ndarray, measured
     return out
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's columns that are not zero, as 16-bit numbers, and their values, as 32-bit floats: most of a text's columns are zero."""
+    out = []
+    for row in x:
+        at = np.flatnonzero(row)
+        out.append(at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes())
+    return out
+
+
 def matrix(rows: pa.ChunkedArray) -> np.ndarray:
-    """The rows of bytes as one matrix of 32-bit floats that may be written, filled without further copies."""
-    x, at = np.empty((len(rows), BUCKETS + STATS), np.float32), 0
+    """The packed rows as one matrix of 32-bit floats that may be written."""
+    x, i = np.zeros((len(rows), BUCKETS + STATS), np.float32), 0
     for chunk in rows.chunks:
         data, offsets = K.buffers(chunk)
-        x[at : at + len(chunk)] = data[offsets[0] : offsets[-1]].view(np.float32).reshape(len(chunk), BUCKETS + STATS)
-        at += len(chunk)
+        for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            middle = begin + (end - begin) // 6 * 2
+            x[i, np.frombuffer(data[begin:middle].tobytes(), "<u2")] = np.frombuffer(data[middle:end].tobytes(), "<f4")
+            i += 1
     return x
 
 
@@ -256,7 +267,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_r
                 measured, n = measures(part, own)
                 keep = np.flatnonzero(n > 0)
                 x = features(part, own, bucket, measured)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(pattern(vote(measured, n))[keep]), pa.array([r.tobytes() for r in x], pa.binary())], names=["code", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(pattern(vote(measured, n))[keep]), pa.array(packed(x), pa.binary())], names=["code", "x"])
 
     share = min(1.0, sample_rows / max(int(counts.sum()), 1))
     picked = texts.filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < int(share * (1 << 30))).select("t")
@@ -266,6 +277,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_r
     y = labels.posterior(rows["code"].to_numpy()).astype(np.float32)
 
     x = matrix(rows["x"])
+    del rows
     w, b = train(x, y)
     return Scorer(labels, w[:BUCKETS][bucket], w[BUCKETS:], b)
 
