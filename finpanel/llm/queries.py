@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finpanel.llm import blockrepeats, crosspolytope, decontam, langid, licences, pii, piececodec, simhash, warcstore, weaklabel
+from finpanel.llm import blockrepeats, crosspolytope, decontam, filteraudit, langid, licences, metricjoin, pii, piececodec, simhash, spelling, warcstore, weaklabel
 from finpanel.llm.kernels import buffers
 from finpanel.llm.storage import fresh_path
 
@@ -93,6 +93,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licence", F.round("score", 6).alias("score"), "n_units")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.near_sets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -104,6 +116,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_licences": op10_licences,
+    "op11_spelling": op11_spelling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 WORDS_2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -168,3 +183,48 @@ ug AS (SELECT doc_id, u, len(w) - 1 AS a, w[k] || ' ' || w[k + 1] AS gram, count
 d AS (SELECT doc_id, u, licence, 2.0 * sum(least(n, m)) / (a + size) AS score FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, a, i, licence, size),
 best AS (SELECT doc_id, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, count(DISTINCT u) AS n_units FROM d WHERE score >= 0.8 - 1e-12 GROUP BY doc_id)
 SELECT documents.doc_id, licence, round(coalesce(score, 0.0), 6) AS score, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# the hash's table is made by its rule; near words share what is left without one code point, or are it
+ORACLE_SQL["op11_spelling"] = rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, r, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+keyed AS (SELECT r, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(b) + 1), lambda i: CAST('0x' || substr(hex(b), 2 * i - 1, 2) AS BIGINT))), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]))) AS h
+  FROM (SELECT r, m, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r) AS b FROM runs WHERE length(r) >= 6), crc),
+done AS (SELECT m, CASE WHEN h % 199 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word FROM keyed),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n, length(word) AS len FROM done WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cuts AS (SELECT word, n, len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.len = b.len AND a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN w ON w.word = c.rest UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN w ON w.word = c.rest),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(other, row(-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT forms.word, forms.form, steps.root, forms.n, CAST(forms.n_near AS BIGINT) AS n_near, CAST(forms.form_n AS BIGINT) AS form_n
+FROM forms JOIN steps ON steps.word = forms.word JOIN forms last ON last.word = steps.root AND last.form IS NULL"""
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > least, false) AS e FROM d JOIN firsts USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+m AS (SELECT part, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+orders AS (SELECT p.k || q.k || r.k || s.k || t.k AS o FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+gone AS (SELECT part, o, n, good, bad, fails, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda x: position(x IN o))), 6) AS gone FROM m, orders),
+steps AS (SELECT part, o AS filter_order, s AS step, substr(o, s, 1) AS letter, sum(n) FILTER (gone > s) AS kept, sum(n) FILTER (gone = s) AS removed, sum(n) FILTER (gone < s AND contains(fails, substr(o, s, 1))) AS redundant,
+  sum(n) FILTER (fails = substr(o, s, 1)) AS unique_fails, sum(good) FILTER (gone = s) AS good_lost, sum(bad) FILTER (gone = s) AS toxic_lost FROM gone, range(1, 6) r(s) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM steps"""
+
+ORACLE_SQL["op13_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT p.doc_id AS x, q.doc_id AS y, count(*) AS k FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM b JOIN c p ON p.doc_id = x JOIN c q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, least AS component_id
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1) m ON m.doc_id = d.doc_id"""
