@@ -1,3 +1,3 @@
 """The same bar operators on streams."""
 
-from finpanel.streaming.bars import first_touch_stream, stream_downsampled  # noqa: F401
+from finpanel.streaming.bars import first_touch_stream, lag_signal_stream, stream_downsampled  # noqa: F401
