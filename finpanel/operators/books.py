@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
-from finpanel.operators.holdings import _checkpoint
+from finpanel.operators.stages import cut
 from finpanel.operators.joins import entries_exits
 from finpanel.operators.topk import top_bottom
 
@@ -111,7 +111,7 @@ def mark_to_market(book: DataFrame, prices: DataFrame, *, cost: float = 0.001, c
     p = p.withColumn("g", F.product(step).over(Window.partitionBy(*own).orderBy("date").rowsBetween(*PAST)))
     day = p.groupBy("strategy", "period", "date").agg(F.sum(F.col("w") * (F.col("g") - 1)).alias("s"), F.count(F.lit(1)).alias("n_positions"))
     # weights that a period leaves behind, against the next one's
-    last = _checkpoint(p.groupBy(*own).agg(F.max_by("g", "date").alias("g"), F.max("w").alias("w")))  # a row for each position, read four times
+    last = cut(p.groupBy(*own).agg(F.max_by("g", "date").alias("g"), F.max("w").alias("w")))  # a row for each position, read four times
     left = last.groupBy("strategy", "period", "assetid").agg(F.sum(F.col("w") * F.col("g")).alias("held"))
     new = book.groupBy("strategy", "period", "assetid").agg(F.sum("w").alias("w"))
     sums = last.groupBy("strategy", "period").agg(F.sum(F.col("w") * (F.col("g") - 1)).alias("end"))

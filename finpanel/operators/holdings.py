@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import blank_to_null, over, require_columns, safe_div
 from finpanel.operators.aggregates import filing_conflicts, matrix_summary, pair_values
+from finpanel.operators.stages import cut
 
 
 @dataclass(frozen=True)
@@ -28,39 +30,91 @@ class HoldingsSpec:
         require_columns(df, *[c for c in (self.investor, self.report_date, self.filing, self.asset, self.value, self.category) if c])
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is named, as in tests, a temporary one in local mode, and an error on a cluster."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        named = tempfile.mkdtemp(prefix="finpanel-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+#: Pairs of a report date that a task peels.
+TASK_PAIRS = 1_000_000
+#: Nodes that a broadcast may hold.
+FEW = 100_000
+PAIR = ["report_date", "investor", "asset"]
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in that folder."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def _peel(least_assets: int, least_investors: int):
+    """All rounds of the filter over the pairs of one date: rows of pairs that stay, and rows of each round with its change of their number."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(PAIR)
+        codes = []
+        for c in PAIR[1:]:
+            x = table.column(c).combine_chunks().dictionary_encode()
+            codes.append((x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).indices.to_numpy(zero_copy_only=False))
+        alive, counts = np.arange(len(table)), [0, len(table)]
+        while len(counts) < 3 or counts[-1] != counts[-2]:
+            for code, least in zip(codes, (least_assets, least_investors), strict=True):
+                alive = alive[np.bincount(code[alive], minlength=1)[code[alive]] >= least]
+            counts.append(len(alive))
+        changes = np.diff(counts)
+        kept = table.take(pa.array(alive)).append_column("round", pa.nulls(len(alive), pa.int32())).append_column("change", pa.nulls(len(alive), pa.int64()))
+        rounds = pa.table({c: pa.nulls(len(changes), table.schema.field(c).type) for c in PAIR} | {"round": pa.array(range(len(changes)), pa.int32()), "change": pa.array(changes, pa.int64())})
+        return pa.concat_tables([kept, rounds])
 
-def degree_filter(pairs: DataFrame, *, least_assets: int, least_investors: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """P-18: drops investors with too few assets and assets with too few investors, for each report date, until nothing changes; returns the pairs and each round's number of them.
+    return run
 
-    All dates go through one plan; a round is two aggregates and semi joins, checkpointed, and one count. Each round but
-    the last drops a pair at least, so the loop ends.
+
+def _rounds(pairs: DataFrame, least: dict[str, int], few: int) -> tuple[DataFrame, list[int]]:
+    """The pairs that stay, and the change of their number in each round, by subtracting from kept degrees.
+
+    Pairs and degrees are written once: a pair is gone if one of its nodes is. A half-round looks up the pairs of the
+    nodes that have just fallen below their threshold, without moving the others where these nodes are few, and takes
+    them off the degrees of their other ends; only the nodes that it touched can fall next.
+    """
+    pairs = cut(pairs)
+    degrees = {s: cut(pairs.groupBy("report_date", s).agg(F.count(F.lit(1)).alias("d"))) for s in least}
+    dead = {s: degrees[s].filter("false").select("report_date", s) for s in least}
+    taken = {s: degrees[s].filter("false").select("report_date", s, F.col("d").alias("m")) for s in least}
+    falling = {s: degrees[s].filter(F.col("d") < least[s]).select("report_date", s) for s in least}
+    changes = [pairs.count()]
+    while len(changes) < 2 or changes[-1]:
+        gone = 0
+        for s, o in (("investor", "asset"), ("asset", "investor")):
+            now = cut(falling[s])
+            n = now.count()
+            if not n:
+                continue
+            lost = pairs.join(F.broadcast(now) if n <= few else now, ["report_date", s], "left_semi")
+            for x in least:  # pairs that went before don't count again
+                lost = lost.join(dead[x], ["report_date", x], "left_anti")
+            minus = cut(lost.groupBy("report_date", o).agg(F.count(F.lit(1)).alias("m")))
+            gone += minus.agg(F.sum("m")).first()[0] or 0
+            dead[s] = cut(dead[s].unionByName(now))
+            taken[o] = cut(taken[o].unionByName(minus).groupBy("report_date", o).agg(F.sum("m").alias("m")))
+            touched = taken[o].join(minus.select("report_date", o), ["report_date", o], "left_semi").join(degrees[o], ["report_date", o])
+            fell = touched.filter(F.col("d") - F.col("m") < least[o]).select("report_date", o)
+            falling[s] = now.filter("false")
+            falling[o] = falling[o].unionByName(fell).distinct().join(dead[o], ["report_date", o], "left_anti")
+        changes.append(-gone)
+    for s in least:
+        pairs = pairs.join(dead[s], ["report_date", s], "left_anti")
+    return pairs, changes
+
+
+def degree_filter(pairs: DataFrame, *, least_assets: int, least_investors: int, task_pairs: int = TASK_PAIRS, few: int = FEW) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """P-18: drops investors with too few assets and then assets with too few investors, for each report date, until nothing changes; returns the pairs and the number of distinct ones after each round.
+
+    Dates are independent. Those of up to ``task_pairs`` distinct pairs are peeled in a task each, all rounds at once;
+    larger ones go through rounds of joins whose work falls with what a round removes. Rows with a null in a key are dropped.
     """
-    now, log = pairs, [(0, pairs.count())]
-    while len(log) < 2 or log[-1][1] != log[-2][1]:
-        rich = now.groupBy("report_date", "investor").agg(F.countDistinct("asset").alias("d")).filter(F.col("d") >= least_assets)
-        now = now.join(rich, ["report_date", "investor"], "left_semi")
-        wide = now.groupBy("report_date", "asset").agg(F.countDistinct("investor").alias("d")).filter(F.col("d") >= least_investors)
-        now = _checkpoint(now.join(wide, ["report_date", "asset"], "left_semi"))
-        log.append((len(log), now.count()))
-    return now, log
+    keys = cut(pairs.select(*PAIR).na.drop().distinct())
+    large = cut(keys.groupBy("report_date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_pairs).select("report_date"))
+    kinds = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in PAIR)
+    peeled = cut(keys.join(large, "report_date", "left_anti").groupBy("report_date").applyInArrow(_peel(least_assets, least_investors), f"{kinds}, round int, change long"))
+    kept = peeled.filter("round is null").select(*PAIR)
+    # a row for each round; a date that settles early changes no more
+    changes = {r["round"]: r["change"] for r in peeled.filter("round is not null").groupBy("round").agg(F.sum("change").alias("change")).collect()}
+    if not large.isEmpty():
+        rest, more = _rounds(keys.join(large, "report_date", "left_semi"), {"investor": least_assets, "asset": least_investors}, few)
+        kept = kept.unionByName(rest)
+        changes = {i: changes.get(i, 0) + (more[i] if i < len(more) else 0) for i in range(max(len(more), len(changes)))}
+    counts = [sum(changes.get(j, 0) for j in range(i + 1)) for i in range(max(len(changes), 2))]
+    return pairs.join(kept, PAIR, "left_semi"), list(enumerate(counts))
 
 
 def readiness_stages(df: DataFrame, spec: HoldingsSpec, *, positive: bool = True, categories: list[str] | None = None) -> list[tuple[str, object]]:

@@ -349,20 +349,24 @@ def _(t):
 ONE = "SELECT h.* FROM holdings h JOIN (SELECT report_date, investor, max(filing) AS filing FROM holdings GROUP BY ALL) USING (report_date, investor, filing)"
 PAIRS = "SELECT report_date, investor, asset, sum(value) AS value FROM one WHERE value > 0 GROUP BY ALL"
 ROUND = "SELECT * FROM (SELECT * FROM {p} WHERE (report_date, investor) IN (SELECT (report_date, investor) FROM {p} GROUP BY report_date, investor HAVING count(DISTINCT asset) >= 3)) x WHERE (report_date, asset) IN (SELECT (report_date, asset) FROM (SELECT * FROM {p} WHERE (report_date, investor) IN (SELECT (report_date, investor) FROM {p} GROUP BY report_date, investor HAVING count(DISTINCT asset) >= 3)) GROUP BY report_date, asset HAVING count(DISTINCT investor) >= 2)"
-ROUNDS = {"one": ONE, "r0": PAIRS, **{f"r{i}": ROUND.format(p=f"r{i - 1}") for i in range(1, 9)}}
+# rounds until one removes nothing or all; of the last one's rows, one more round leaves what stays
+LAST = """WITH RECURSIVE k AS (SELECT 0 AS step, * FROM r0 UNION ALL
+  SELECT step + 1, report_date, investor, asset, value FROM (SELECT *, count(*) OVER () AS after FROM (SELECT *, count(*) OVER (PARTITION BY report_date, asset) AS ca FROM (
+    SELECT *, count(*) OVER (PARTITION BY report_date, investor) AS ci, count(*) OVER () AS before FROM k) WHERE ci >= 3) WHERE ca >= 2) WHERE after < before)
+SELECT report_date, investor, asset, value FROM k WHERE step = (SELECT max(step) FROM k)"""
+ROUNDS = {"one": ONE, "r0": PAIRS, "last": LAST, "stays": ROUND.format(p="last")}
 
 
 def pairs(t):
     return A.pair_values(holdings.one_filing(t.holdings).filter("value > 0"), ["report_date", "investor", "asset"], "value")
 
 
-@query("p18_degree_filter", "report_date investor asset value~2", "holdings", "SELECT * FROM r8", **ROUNDS)
+@query("p18_degree_filter", "report_date investor asset value~2", "holdings", "SELECT * FROM stays", **ROUNDS)
 def _(t):
-    """The SQL runs eight rounds; the filter stops when nothing changes."""
     return holdings.degree_filter(pairs(t), least_assets=3, least_investors=2)[0]
 
 
-SUMMARY = "SELECT * FROM (SELECT report_date, count(*) AS pairs FROM r8 GROUP BY ALL) JOIN (SELECT report_date, count(*) AS investors, median(d) AS investor_degree FROM (SELECT report_date, investor, count(DISTINCT asset) AS d FROM r8 GROUP BY ALL) GROUP BY ALL) USING (report_date) JOIN (SELECT report_date, count(*) AS assets, median(d) AS asset_degree FROM (SELECT report_date, asset, count(DISTINCT investor) AS d FROM r8 GROUP BY ALL) GROUP BY ALL) USING (report_date)"
+SUMMARY = "SELECT * FROM (SELECT report_date, count(*) AS pairs FROM stays GROUP BY ALL) JOIN (SELECT report_date, count(*) AS investors, median(d) AS investor_degree FROM (SELECT report_date, investor, count(DISTINCT asset) AS d FROM stays GROUP BY ALL) GROUP BY ALL) USING (report_date) JOIN (SELECT report_date, count(*) AS assets, median(d) AS asset_degree FROM (SELECT report_date, asset, count(DISTINCT investor) AS d FROM stays GROUP BY ALL) GROUP BY ALL) USING (report_date)"
 
 
 @query("a34_p19_matrix_readiness", "report_date pairs investors assets investor_degree asset_degree density_pct~7", "holdings", f"SELECT *, 100.0 * pairs / (investors * assets) AS density_pct FROM ({SUMMARY})", **ROUNDS)

@@ -47,11 +47,10 @@ def _(t):
 
 def _written(t, df, name: str) -> str:
     """A new folder below the one that all machines share, with a CSV copy of ``df``."""
-    import uuid
 
-    from finpanel.operators.holdings import _checkpoint_dir
+    from finpanel.operators.stages import fresh_path
 
-    path = f"{_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(t.spark, name)
     S.write_csv(df, path)
     return path
 

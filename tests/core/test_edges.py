@@ -214,6 +214,37 @@ def test_degree_filter_unravels_a_long_chain(spark):
     assert left.count() == 0 and len(log) > 5
 
 
+def _filtered(rows, least_assets, least_investors):
+    """The rounds as loops."""
+    now, log = set(rows), [len(set(rows))]
+    while len(log) < 2 or log[-1] != log[-2]:
+        now = {p for p in now if len({a for d, i, a in now if (d, i) == p[:2]}) >= least_assets}
+        now = {p for p in now if len({i for d, i, a in now if (d, a) == (p[0], p[2])}) >= least_investors}
+        log.append(len(now))
+    return now, log
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_degree_filter_in_tasks_and_in_rounds(spark, few):
+    """Dates in a task, dates in rounds of joins, and both together give the rounds of loops; nulls and repeats don't count."""
+    rng = np.random.default_rng(5)
+    rows = [(f"d{d}", f"i{rng.integers(14)}", f"a{rng.integers(12)}") for d in range(3) for _ in range(25 + 15 * d)] + [("d3", f"i{n}", f"a{n + k}") for n in range(3) for k in (0, 1)]
+    want, log = _filtered(rows, 3, 2)
+    assert 0 < len(want) < len(set(rows))
+    t = frame(spark, [*rows, rows[0], ("d0", None, "a1"), ("d0", "i1", None)], "report_date string, investor string, asset string")
+    for size in (10**6, 30, 0):
+        left, got = holdings.degree_filter(t, least_assets=3, least_investors=2, task_pairs=size, few=few)
+        assert {tuple(r) for r in left.collect()} == want and [n for _, n in got] == log
+    assert holdings.degree_filter(t.limit(0), least_assets=3, least_investors=2)[1] == [(0, 0), (1, 0)]
+
+
+def test_degree_filter_unravels_500_links(spark):
+    """Each round takes a link from each end: as many rounds as half the chain, in one job."""
+    rows = [("q", f"i{n}", f"a{n + d}") for n in range(250) for d in (0, 1)]
+    left, log = holdings.degree_filter(frame(spark, rows, "report_date string, investor string, asset string"), least_assets=2, least_investors=2)
+    assert left.count() == 0 and len(log) > 100 and log[0] == (0, 500)
+
+
 def test_profiles(spark):
     p = {r["name"]: r for r in aggregates.schema_profile(frame(spark, [("A", 1.0), (None, 2.0), ("B", None)], "asset string, value double")).collect()}
     assert p["asset"].nulls == 1 and p["value"].null_pct == pytest.approx(100 / 3)
