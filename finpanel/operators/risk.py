@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
+from finpanel.operators.stages import cut
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -16,11 +21,61 @@ def risk_return(returns: DataFrame, *, rf: float = 0.0, key: str = "asset", ret:
     return g.withColumn("sharpe", safe_div(F.col("ann_ret") - rf, F.col("ann_risk")))
 
 
-def covariance(returns: DataFrame, *, key: str = "asset", by: str = "date", ret: str = "ret") -> DataFrame:
-    """D-2: sample covariance and correlation of each pair of assets on their common dates, both triangles; one is computed."""
-    a = returns.select(F.col(by), F.col(key).alias("i"), F.col(ret).alias("x"))
-    b = returns.select(F.col(by), F.col(key).alias("j"), F.col(ret).alias("y"))
-    half = a.join(b, by).filter("i <= j").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+#: Assets of a block and rows of a stretch of dates, on average, of the products behind covariances.
+BLOCK, STRETCH = 256, 1 << 18
+
+
+def covariance(returns: DataFrame, *, key: str = "asset", by: str = "date", ret: str = "ret", block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
+    """D-2: sample covariance and correlation of each pair of assets on their common dates, both triangles.
+
+    Assets are dealt to blocks and dates to stretches. For each pair of blocks and stretch a task makes two matrices, dates
+    by assets, of deviations from the assets' means, and of marks of the dates that an asset has; numpy products of these
+    are the six sums over common dates of all pairs at once, and the stretches' sums are added. A return goes once to each
+    pair of its block and another, so what is moved is rows times blocks, and no row is made for two assets on a date.
+    Null returns are no observations; of several returns of an asset on a date the mean counts.
+    """
+    rows = returns.filter(F.col(key).isNotNull() & F.col(by).isNotNull() & F.col(ret).isNotNull()).groupBy(F.col(key).alias("k"), F.col(by).alias("t")).agg(F.avg(ret).alias("x"))
+    assets = cut(rows.groupBy("k").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")))
+    size = assets.agg(F.count(F.lit(1)), F.sum("n")).first()
+    blocks, stretches = math.ceil(size[0] / block) or 1, math.ceil((size[1] or 0) / (math.ceil(size[0] / block) or 1) / stretch) or 1
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    x = rows.join(assets.select("k", "m"), "k").select("k", "t", (F.col("x") - F.col("m")).alias("x"), own.alias("b"), F.pmod(F.xxhash64("t"), F.lit(stretches)).cast("int").alias("s"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "t", "x", "b", "s", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def coded(c: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        d = c.combine_chunks().dictionary_encode()
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        return d.indices.to_numpy(zero_copy_only=False), d.dictionary
+
+    def products(table: pa.Table) -> pa.Table:
+        b, x = table.column("b").to_numpy(), table.column("x").to_numpy()
+        t, times = coded(table.column("t"))
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        sides = []
+        for block in (p, q):
+            at = np.flatnonzero(b == block)
+            k, names = coded(table.column("k").take(pa.array(at)))
+            dev, has = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+            dev[t[at], k], has[t[at], k] = x[at], 1.0
+            sides.append((names, dev, has))
+        (left, a, u), (right, c, v) = sides
+        n = u.T @ v
+        sums = {"n": n, "x": a.T @ v, "y": u.T @ c, "xy": a.T @ c, "xx": (a * a).T @ v, "yy": u.T @ (c * c)}
+        i, j = np.nonzero(n if p != q else np.triu(n))
+        out = {"i": left.take(pa.array(i)), "j": right.take(pa.array(j))}
+        return pa.table(out | {name: pa.array(s[i, j]) for name, s in sums.items()})
+
+    kind = returns.schema[key].dataType.simpleString()
+    found = x.groupBy("p", "q", "s").applyInArrow(products, f"i {kind}, j {kind}, n double, x double, y double, xy double, xx double, yy double")
+    if stretches > 1:  # which of a pair comes first may differ between stretches
+        turn = F.col("i") > F.col("j")
+        pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
+        found = found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "n", pick("x", "y").alias("x"), pick("y", "x").alias("y"), "xy", pick("xx", "yy").alias("xx"), pick("yy", "xx").alias("yy"))
+        found = found.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")])
+    about = lambda a, b, c: F.col(a) - F.col(b) * F.col(c) / F.col("n")
+    xy, xx, yy = about("xy", "x", "y"), about("xx", "x", "x"), about("yy", "y", "y")
+    corr = F.when((F.col("n") > 1) & (xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+    half = found.select("i", "j", safe_div(xy, F.col("n") - 1).alias("cov"), corr.alias("corr"), F.col("n").cast("long").alias("n"))
     sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
     return half.select(F.explode(sides).alias("p"), "cov", "corr", "n").select("p.i", "p.j", "cov", "corr", "n")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import at_least, over, safe_div
+from finpanel.functions.orderstats import trailing_counts
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -121,10 +124,33 @@ def regime_changes(states: DataFrame, *, key: str, by: str = "date", state: str
 
 
 def trailing_rank(rows: DataFrame, n: int, *, key: str, by: str = "date", value: str = "value") -> DataFrame:
-    """W-27: mid-rank of the newest value among the last n of its own, itself included."""
-    pool = F.collect_list(value).over(over(key, by=by, rows=(-(n - 1), 0)))
-    less, same = F.size(F.filter("__p", lambda v: v < F.col(value))), F.size(F.filter("__p", lambda v: v == F.col(value)))
-    return rows.withColumn("__p", pool).withColumn("trail_rank", safe_div(less + 0.5 * same, F.size("__p"))).drop("__p")
+    """W-27: mid-rank of the newest value among the last n of its own, itself included.
+
+    A key's rows are numbered and cut into blocks of n. A window spans a block and the end of the one before, so a task
+    takes the values of two blocks, and ranks them by merging sorted runs: no row holds its window. Nulls are no values;
+    the rank of a null is 0, as no value is below it.
+    """
+    at = F.row_number().over(over(key, by=by)) - 1
+    x = rows.select(F.struct(*rows.columns).alias("row"), F.struct(F.col(key).alias("k")).alias("key"), F.col(value).cast("double").alias("v"), at.alias("at"))
+    block = F.floor(F.col("at") / n)
+    # each value is once in its own block, with its row, and once in front of the next one
+    x = x.withColumn("b", F.explode(F.array(F.struct(block.alias("no"), F.lit(True).alias("own")), F.struct((block + 1).alias("no"), F.lit(False).alias("own")))))
+    x = x.select(F.col("b.no").alias("no"), F.col("b.own").alias("own"), "key", "v", "at", F.when(F.col("b.own"), F.col("row")).alias("row"))
+
+    def rank(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        v, at = table.column("v"), table.column("at").to_numpy()
+        there, v = v.is_valid().to_numpy(zero_copy_only=False), v.fill_null(0.0).to_numpy()
+        old, new = np.flatnonzero(~own), np.flatnonzero(own)
+        old, new = old[np.argsort(at[old])], new[np.argsort(at[new])]
+        less, same, full = trailing_counts(v[old], v[new], there[old], there[new])
+        with np.errstate(invalid="ignore"):
+            share = np.where(full > 0, (less + 0.5 * same) / np.maximum(full, 1), np.nan)
+        return pa.table({"row": table.column("row").take(pa.array(new)), "trail_rank": pa.array(share, mask=full == 0)})
+
+    kind = rows.schema.simpleString()
+    found = x.groupBy("key", "no").applyInArrow(rank, f"row {kind}, trail_rank double")
+    return found.filter("row is not null").select("row.*", "trail_rank")
 
 
 def lag_signal(rows: DataFrame, signal: str, *, key: str, by: str = "date") -> DataFrame:
