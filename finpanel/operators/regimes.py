@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
+from finpanel.operators.stages import cut
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -72,52 +74,91 @@ def weighted_correlation(pairs: DataFrame, *, x: str, y: str, p: str = "p") -> D
     return s.select(safe_div(n("xy", "sx", "sy"), F.sqrt(n("xx", "sx", "sx") * n("yy", "sy", "sy"))).alias("rho"))
 
 
-def reweight(scenarios: DataFrame, views: list[tuple[Column, float]], *, p: str = "p", rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
-    """R-7: weights q in proportion to p exp(lambda f) with the least change that meets each view, the mean of an expression f.
+@dataclass
+class _Dual:
+    """Where one view's Newton iteration stands: its point, the dual's value and gradient there, and the steps that are tried."""
+
+    goal: np.ndarray
+    active: np.ndarray
+    lam: np.ndarray
+    state: str = "open"
+    value: float = math.inf
+    step: np.ndarray | None = None
+    sizes: tuple[float, ...] = (0.0,)
+    rounds: int = 0
+
+    def trials(self) -> list[np.ndarray]:
+        return [self.lam if self.step is None else self.lam + s * self.step for s in self.sizes]
+
+    def told(self, found: dict[int, tuple[float, np.ndarray, np.ndarray]], tolerance: float, rounds: int) -> None:
+        """Takes the dual at the trial points: goes to the longest step that lowers it; if the whole step doesn't, all halves are tried at once."""
+        for i in sorted(found):
+            value, grad, hess = found[i]
+            if not (math.isfinite(value) and np.isfinite(grad).all() and np.isfinite(hess).all() and value <= self.value + 1e-12):
+                continue
+            self.lam, self.value, grad = self.trials()[i], value, grad[self.active]
+            if np.abs(grad).max(initial=0.0) < tolerance:
+                self.state = "settled"
+            elif self.rounds >= rounds:
+                self.state = "unsettled"
+            else:
+                own = hess[np.ix_(self.active, self.active)]
+                self.step, self.sizes, self.rounds = np.zeros(len(self.lam)), (1.0,), self.rounds + 1
+                self.step[self.active] = np.linalg.solve(own + 1e-12 * np.eye(len(own)), -grad)
+            return
+        if self.sizes == (1.0,):
+            self.sizes = tuple(0.5**n for n in range(1, 21))
+        else:
+            self.state = "unsettled"
+
+
+def reweight_views(scenarios: DataFrame, features: list[Column], goals: dict[str, list[float | None]], *, p: str = "p", rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """R-7, R-9 and R-11 for many views at once: the scenarios once for each view of ``goals``, with ``view``, its weights q and ``settled``.
 
-    Newton's method on the dual with step halving: each step is one aggregate of the views' weighted moments, a few
-    numbers. If it doesn't settle (views that no weights can meet), q is p.
+    A view names the mean that each feature should have, or None where it says nothing. Its q is in proportion to
+    p exp(lambda f) with the least change that meets it. All views take each step of Newton's method on their duals
+    together: one aggregate of the scenarios keyed by view gives the moments at every open view's point, a few numbers for
+    each, and small systems are solved for them; so there are two jobs at most for each step of the slowest view, whatever
+    the number of views. Views are parameters: they are broadcast. A view that no weights can meet, or that takes more than
+    ``rounds`` steps, keeps p and is not settled.
     """
-    k = len(views)
-    base = scenarios.agg(*[F.avg(f).alias(f"m{i}") for i, (f, _) in enumerate(views)], *[F.stddev_pop(f).alias(f"s{i}") for i, (f, _) in enumerate(views)]).first()
-    mean, dev = [base[f"m{i}"] or 0.0 for i in range(k)], [base[f"s{i}"] or 1.0 for i in range(k)]
-    z = [(f - mean[i]) / (dev[i] or 1.0) for i, (f, _) in enumerate(views)]
-    goal = np.array([(t - mean[i]) / (dev[i] or 1.0) for i, (_, t) in enumerate(views)])
-    rows = scenarios.select(F.col(p).alias("p"), *[c.alias(f"z{i}") for i, c in enumerate(z)]).cache()
-
-    def moments(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        e = F.col("p") * F.exp(sum((F.lit(float(v)) * (F.col(f"z{i}") - float(goal[i])) for i, v in enumerate(lam)), F.lit(0.0)))
-        aggs = [F.sum(e).alias("t")] + [F.sum(e * (F.col(f"z{i}") - float(goal[i]))).alias(f"g{i}") for i in range(k)]
-        aggs += [F.sum(e * (F.col(f"z{i}") - float(goal[i])) * (F.col(f"z{j}") - float(goal[j]))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        r = rows.agg(*aggs).first()
-        if not r["t"] or not math.isfinite(r["t"]):
-            return math.inf, np.zeros(k), np.eye(k)
-        g = np.array([r[f"g{i}"] for i in range(k)]) / r["t"]
-        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / r["t"]
-        return math.log(r["t"]), g, h - np.outer(g, g)
-
-    lam = np.zeros(k)
-    value, g, h = moments(lam)
-    settled = np.abs(g).max(initial=0.0) < tolerance
-    for _ in range(rounds):
-        if settled:
-            break
-        step, size = np.linalg.solve(h + 1e-12 * np.eye(k), -g), 1.0
-        while size > 1e-6:
-            new = moments(lam + size * step)
-            if np.isfinite(new[0]) and new[0] <= value + 1e-12:
-                break
-            size /= 2
-        else:
-            break
-        lam, (value, g, h) = lam + size * step, new
-        settled = np.abs(g).max(initial=0.0) < tolerance
-    rows.unpersist()
-    if not settled:
-        return scenarios.withColumn("q", F.col(p))
-    q = F.col(p) * F.exp(sum((F.lit(float(v)) * (z[i] - float(goal[i])) for i, v in enumerate(lam)), F.lit(0.0)))
-    total = scenarios.agg(F.sum(q).alias("__total"))
-    return scenarios.crossJoin(F.broadcast(total)).withColumn("q", q / F.col("__total")).drop("__total")  # one row
+    k, spark = len(features), scenarios.sparkSession
+    base = scenarios.agg(*[f(x).alias(f"{name}{i}") for i, x in enumerate(features) for name, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).first()
+    mean, dev = np.array([base[f"m{i}"] or 0.0 for i in range(k)]), np.array([base[f"s{i}"] or 1.0 for i in range(k)])
+    z = [(f - float(mean[i])) / float(dev[i]) for i, f in enumerate(features)]
+    rows = cut(scenarios.select(F.col(p).alias("p"), *[c.alias(f"z{i}") for i, c in enumerate(z)]))
+    duals = {}
+    for name, targets in goals.items():
+        active = [i for i, t in enumerate(targets) if t is not None]
+        goal = (np.array([0.0 if t is None else float(t) for t in targets]) - mean) / dev
+        # no weights give a mean beyond the values
+        within = all(base[f"lo{i}"] is not None and base[f"lo{i}"] <= targets[i] <= base[f"hi{i}"] for i in active)
+        duals[name] = _Dual(np.where([t is not None for t in targets], goal, 0.0), np.array(active, dtype=int), np.zeros(k), "open" if within else "unsettled")
+
+    def points(names: list[str]) -> DataFrame:
+        return spark.createDataFrame([(n, i, [float(v) for v in lam], [float(v) for v in duals[n].goal]) for n in names for i, lam in enumerate(duals[n].trials())], "view string, trial int, lam array<double>, goal array<double>")
+
+    off = [F.col(f"z{i}") - F.col("goal")[i] for i in range(k)]
+    e = F.col("p") * F.exp(sum((F.col("lam")[i] * off[i] for i in range(k)), F.lit(0.0)))
+    aggs = [F.sum("e").alias("t")] + [F.sum(F.col("e") * off[i]).alias(f"g{i}") for i in range(k)] + [F.sum(F.col("e") * off[i] * off[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+    while names := [n for n, d in duals.items() if d.state == "open"]:
+        found: dict[str, dict] = {n: {} for n in names}
+        for r in rows.crossJoin(F.broadcast(points(names))).withColumn("e", e).groupBy("view", "trial").agg(*aggs).collect():  # views are parameters
+            t = r["t"] if r["t"] is not None and 0 < r["t"] < math.inf else math.nan
+            g = np.array([r[f"g{i}"] for i in range(k)], dtype=float) / t
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float) / t
+            found[r["view"]][r["trial"]] = math.log(t), g, h - np.outer(g, g)
+        for n in names:
+            duals[n].told(found[n], tolerance, rounds)
+    done = spark.createDataFrame([(n, [float(v) for v in d.lam], [float(v) for v in d.goal], float(d.value), d.state == "settled") for n, d in duals.items()], "view string, __lam array<double>, __goal array<double>, __value double, settled boolean")
+    x = scenarios.crossJoin(F.broadcast(done))  # views are parameters
+    power = sum((F.col("__lam")[i] * (z[i] - F.col("__goal")[i]) for i in range(k)), F.lit(0.0))
+    return x.withColumn("q", F.when(F.col("settled"), F.col(p) * F.exp(power - F.col("__value"))).otherwise(F.col(p))).drop("__lam", "__goal", "__value")
+
+
+def reweight(scenarios: DataFrame, views: list[tuple[Column, float]], *, p: str = "p", rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """R-7: weights q in proportion to p exp(lambda f) with the least change that meets each view, the mean of an expression f; and ``settled``, false where q is p because no weights meet them."""
+    return reweight_views(scenarios, [f for f, _ in views], {"all": [t for _, t in views]}, p=p, rounds=rounds, tolerance=tolerance).drop("view")
 
 
 def relative_entropy(rows: DataFrame, *, p: str = "p", q: str = "q", key: str | None = None) -> DataFrame:
@@ -151,13 +192,11 @@ def transition_mass(q: DataFrame, k: int) -> DataFrame:
 
 
 def view_ladder(scenarios: DataFrame, value: str, targets: list[float], *, portfolio: str) -> DataFrame:
-    """R-11: for each mean view the posterior mean of a portfolio column and the effective share of scenarios."""
-    out = None
-    for t in targets:  # a handful of views, each a few small aggregates
-        q = reweight(scenarios, [(F.col(value), t)])
-        r = q.agg(F.sum(F.col("q") * F.col(portfolio)).alias("post_mean"), F.sum(F.col("q") * F.col(value)).alias("view_mean"), F.exp(-F.sum(F.when(F.col("q") > 0, F.col("q") * F.ln(F.col("q") / F.col("p"))).otherwise(0.0))).alias("effective")).withColumn("target", F.lit(float(t)))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """R-11: for each mean view the posterior mean of a portfolio column, the effective share of scenarios, and whether weights meet the view; all views in one plan."""
+    q = reweight_views(scenarios, [F.col(value)], {repr(float(t)): [t] for t in targets})
+    entropy = F.sum(F.when(F.col("q") > 0, F.col("q") * F.ln(F.col("q") / F.col("p"))).otherwise(0.0))
+    out = q.groupBy("view", "settled").agg(F.sum(F.col("q") * F.col(portfolio)).alias("post_mean"), F.sum(F.col("q") * F.col(value)).alias("view_mean"), F.exp(-entropy).alias("effective"))
+    return out.select("post_mean", "view_mean", "effective", F.col("view").cast("double").alias("target"), "settled")
 
 
 def stress_table(rows: DataFrame, *, key: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from finpanel.operators import risk, windows
+from finpanel.operators import regimes, risk, windows
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 300])
@@ -58,3 +58,34 @@ def test_covariance_by_blocks(spark, block, stretch):
                 assert r["corr"] == pytest.approx(c[0, 1] / math.sqrt(c[0, 0] * c[1, 1]), rel=1e-7, abs=1e-9)
     assert not got
     assert risk.covariance(t.filter(F.lit(False))).count() == 0
+
+
+def test_many_views_in_one_plan(spark):
+    """Views of different reach at once: each is met with weights of the exponential form; unreachable ones are marked and keep the prior."""
+    rng = np.random.default_rng(9)
+    x, y, p = rng.normal(size=300), rng.normal(size=300) * 5 + 2, rng.random(300)
+    p /= p.sum()
+    t = spark.createDataFrame([(i, float(a), float(b), float(c), i % 3) for i, (a, b, c) in enumerate(zip(x, y, p, strict=True))], "i int, x double, y double, p double, state int")
+    goals = {f"v{k}": [0.05 * k, None if k % 2 else 2.0 + k / 4] for k in range(12)} | {"far": [50.0, None], "both far": [2.0 * float(x.max()) / 2, float(y.min())], "none": [None, None]}
+    q = regimes.reweight_views(t, [F.col("x"), F.col("y")], goals)
+    got = q.toPandas()
+    assert len(got) == 300 * len(goals)
+    for name, (gx, gy) in goals.items():
+        own = got[got["view"] == name].sort_values("i")
+        w = own["q"].to_numpy()
+        if "far" in name:
+            assert not own["settled"].any() and np.array_equal(w, p)
+            continue
+        assert own["settled"].all() and w.sum() == pytest.approx(1)
+        assert gx is None or (w * x).sum() == pytest.approx(gx, abs=1e-8)
+        assert gy is None or (w * y).sum() == pytest.approx(gy, abs=1e-8)
+        # the logarithm of the change is linear in the features that the view is about
+        f = np.column_stack([np.ones(300), *([x] if gx is not None else []), *([y] if gy is not None else [])])
+        assert np.linalg.lstsq(f, np.log(w / p), rcond=None)[1].sum() < 1e-12
+    # probabilities of states as features: the table of one view for each state
+    states = regimes.reweight_views(t, [(F.col("state") == s).cast("double") for s in range(3)], {str(s): [0.8 if s == r else 0.1 for r in range(3)] for s in range(3)})
+    mass = {(r["view"], r["state"]): r["m"] for r in states.groupBy("view", "state").agg(F.sum("q").alias("m")).collect()}
+    assert all(m == pytest.approx(0.8 if v == str(s) else 0.1) for (v, s), m in mass.items())
+    assert regimes.reweight_views(t.limit(0), [F.col("x")], {"a": [1.0]}).count() == 0
+    ladder = regimes.view_ladder(t, "x", [0.1, 99.0], portfolio="y").collect()
+    assert sorted((r.target, r.settled) for r in ladder) == [(0.1, True), (99.0, False)]
