@@ -310,7 +310,7 @@ def voronoi(members: DataFrame, large: DataFrame, held: DataFrame, r: float, see
     chosen = cut(chosen.select("region", "node").join(held, "node").select("region", F.col("node").alias("p"), F.col("x").alias("px")))
     # a region is dealt to parts of about as many points as a task takes; its few pivots go to each of them
     split = large.select("region", F.ceil(F.col("m") / (POINTS // 4)).cast("int").alias("parts"))
-    pivots = chosen.join(split, "region").select("region", "p", "px", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pivots = chosen.join(split, "region").select(F.col("region").alias("r"), "p", "px", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     points = rows.select("region", "node", "n").join(split, "region").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(held, "node").select("region", "part", "node", "n", "x")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -319,7 +319,7 @@ def voronoi(members: DataFrame, large: DataFrame, held: DataFrame, r: float, see
         d = np.concatenate([both.distances(len(names) + i, np.arange(len(names))) for i in range(len(pivot))]) if len(pivot) and len(names) else np.zeros(0)
         return pa.table({"region": pa.array(np.full(len(d), left.column("region")[0].as_py() if len(names) else 0)), "node": pa.array(np.tile(names, len(pivot))), "n": pa.array(np.tile(left.column("n").to_numpy(), len(pivot))), "p": pa.array(np.repeat(pivot, len(names))), "d": pa.array(d)})
 
-    return points.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(measure, "region long, node long, n long, p long, d double")
+    return points.groupBy("region", "part").cogroup(pivots.groupBy("r", "q")).applyInArrow(measure, "region long, node long, n long, p long, d double")
 
 
 def join_regions(members: DataFrame, held: DataFrame, r: float) -> DataFrame:
