@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finpanel.functions import blank_to_null, over, safe_div
+from finpanel.operators.quantiles import exact_quantiles
 
 
 def downsample(bars: DataFrame, every: str = "30 minutes", *, watermark: str | None = None) -> DataFrame:
@@ -105,8 +106,8 @@ def filing_conflicts(df: DataFrame, *, date: str, investor: str, filing: str) ->
 def value_profile(df: DataFrame, column: str) -> DataFrame:
     """A-18: missing, negative, zero and positive values, and quantiles."""
     v = F.col(column).try_cast("double") if hasattr(Column, "try_cast") else F.expr(f"try_cast({column} as double)")
-    q = F.percentile(v, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    one = df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("positive"), F.min(v).alias("lo"), q.alias("q"), F.max(v).alias("hi"))
+    one = df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("positive"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    one = one.crossJoin(exact_quantiles(df, v, [0.01, 0.5, 0.99]))  # one row each
     return one.select("missing", "negative", "zero", "positive", "lo", F.col("q")[0].alias("p01"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p99"), "hi")
 
 
@@ -139,8 +140,9 @@ def na_report(df: DataFrame, label: str) -> DataFrame:
 
 def describe(df: DataFrame, key: str, value: str) -> DataFrame:
     """A-23: count, mean, deviation, extremes and quartiles for each key."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi"))
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], key=key).withColumnRenamed(key, "__k")
+    g = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    g = g.join(q, F.col(key).eqNullSafe(F.col("__k")))
     return g.select(key, "n", "mean", "sd", "lo", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "hi")
 
 

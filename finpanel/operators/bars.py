@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
+from finpanel.operators.stages import cut
 
 #: Edges of the gap bins in per cent; right-closed.
 GAP_EDGES = (-15.0, -5.0, -2.0, 0.0, 2.0, 5.0, 15.0)
@@ -21,20 +26,24 @@ def gap_bins(days: DataFrame, *, threshold: float = 0.0) -> DataFrame:
     return rows.withColumn("bin", bin_)
 
 
-def k_means_1d(rows: DataFrame, column: str, centers: list[float], rounds: int = 10) -> tuple[DataFrame, list[float]]:
-    """D-14: Lloyd's steps from given centers; one aggregate of a few rows for each round."""
+def k_means_1d(rows: DataFrame, column: str, centers: list[float], rounds: int = 1000) -> tuple[DataFrame, list[float]]:
+    """D-14: Lloyd's steps from given centers until they stay; one aggregate of a few rows for each round.
+
+    No center leaves its last value while it has no rows. Raises if ``rounds`` steps don't settle them.
+    """
 
     def nearest(c: list[float]) -> Column:
         return F.array_min(F.array(*[F.struct(F.abs(F.col(column) - x).alias("d"), F.lit(i).alias("i")) for i, x in enumerate(c)]))["i"]
 
-    rows = rows.filter(F.col(column).isNotNull())
+    rows = cut(rows.filter(F.col(column).isNotNull()))
     for _ in range(rounds):
         means = {r["k"]: r["m"] for r in rows.groupBy(nearest(centers).alias("k")).agg(F.avg(column).alias("m")).collect()}  # a row for each center
         new = [means.get(i, c) for i, c in enumerate(centers)]
-        if new == centers:
-            break
+        # sums of another order differ in their last bits
+        if all(abs(a - b) <= 1e-12 * max(abs(a), abs(b), 1.0) for a, b in zip(new, centers, strict=True)):
+            return rows.withColumn("cluster", nearest(centers)), centers
         centers = new
-    return rows.withColumn("cluster", nearest(centers)), centers
+    raise RuntimeError(f"centers are not settled after {rounds} rounds")
 
 
 def first_and_rest(bars: DataFrame) -> DataFrame:
@@ -56,22 +65,28 @@ def directional_accuracy(first: DataFrame) -> DataFrame:
     return first.groupBy("ticker").agg(F.count_if((up != 0) & (day != 0)).alias("n"), safe_div(F.count_if((up == day) & (up != 0)), F.count_if((up != 0) & (day != 0))).alias("accuracy"))
 
 
-def continuation_model(rows: DataFrame, *, key: str, x: str, y: str, rounds: int = 8) -> DataFrame:
-    """D-16: logistic regression of a flag on one variable for each key, by weighted sums, and its accuracy in the sample.
+def continuation_model(rows: DataFrame, *, key: str, x: str, y: str, rounds: int = 30, tolerance: float = 1e-8) -> DataFrame:
+    """D-16: logistic regression of a flag on one variable for each key, by weighted sums, with its accuracy in the sample and ``settled``.
 
-    Each round is one aggregate over all keys; coefficients are one row for each key.
+    Each round is one aggregate over all keys and one row for each, which is kept; rounds end when no key's coefficients
+    move. Keys whose coefficients still move after ``rounds`` are not settled: flags that the variable separates have no
+    finite ones.
     """
-    data = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    coef = data.groupBy(key).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    data = cut(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    coef = cut(data.groupBy(key).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(False).alias("settled")))
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w = F.greatest(p * (1 - p), F.lit(1e-9))
-        d = data.join(coef, key).withColumn("w", w).withColumn("e", F.col("y") - p)
+        d = data.join(coef.filter("not settled"), key).withColumn("w", w).withColumn("e", F.col("y") - p)
         s = d.groupBy(key, "a", "b").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("x")).alias("s1"), F.sum(F.col("w") * F.col("x") ** 2).alias("s2"), F.sum("e").alias("g0"), F.sum(F.col("e") * F.col("x")).alias("g1"))
         det = F.col("s0") * F.col("s2") - F.col("s1") ** 2 + 1e-9
-        coef = s.select(key, (F.col("a") + (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det).alias("a"), (F.col("b") + (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det).alias("b"))
+        da, db = (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det, (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det
+        still = (F.abs(da) <= tolerance * (1 + F.abs("a"))) & (F.abs(db) <= tolerance * (1 + F.abs("b")))
+        coef = cut(coef.filter("settled").unionByName(s.select(key, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), still.alias("settled"))))
+        if coef.filter("not settled").isEmpty():
+            break
     guess = (F.col("a") + F.col("b") * F.col("x") > 0).cast("double")
-    return data.join(coef, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg((guess == F.col("y")).cast("double")).alias("accuracy"))
+    return data.join(coef, key).groupBy(key, "a", "b", "settled").agg(F.count(F.lit(1)).alias("n"), F.avg((guess == F.col("y")).cast("double")).alias("accuracy"))
 
 
 def signals(bars: DataFrame) -> DataFrame:
@@ -120,18 +135,34 @@ def position_size(capital: Column, risk: Column, entry: Column, *, share: float
 def trade_log(done: DataFrame, grid: DataFrame, *, start: float = 25_000.0, leverage: float = 4.0, commission: float = 0.0005) -> DataFrame:
     """O-5: trades with sizes from the capital before each of them, for each ticker and row of ``grid`` (param, risk_share).
 
-    Capital depends on the trades before through the floor in the size, so each ticker's trades, one small struct for a
-    day, are folded in order; tickers and parameters are independent.
+    Capital depends on the trades before through the floor in the size, so each ticker's trades are folded in order;
+    tickers and parameters are independent. The trades of a task stand sorted, and are read batch by batch: what goes from
+    one batch to the next is the ticker, the parameter and the capital, so a ticker of any number of trades takes no more
+    memory than a batch. Without a risk, or without a price, that bound on the size does not hold; without both nothing is bought.
     """
-    trades = done.filter("reason <> 'NONE'").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "entry", "exit", "dir", "risk"))).alias("days"))
-    x = trades.crossJoin(F.broadcast(grid))  # a few parameter sets
-    out = "array<struct<date:date,shares:bigint,pnl:double,before:double,after:double,r:double>>"
-    size = f"cast(greatest(0D, floor(least(a.cap * risk_share / t.risk, a.cap * {leverage}D / t.entry))) as bigint)"
-    pnl = f"(n * (t.exit - t.entry) * t.dir - n * {commission}D * 2)"
-    fold = f"""aggregate(days, named_struct('cap', {start}D, 'log', cast(array() as {out})), (a, t) -> transform(array({size}), n -> named_struct(
-        'cap', a.cap + {pnl},
-        'log', case when n >= 1 then concat(a.log, array(named_struct('date', t.date, 'shares', n, 'pnl', {pnl}, 'before', a.cap, 'after', a.cap + {pnl}, 'r', (t.exit - t.entry) * t.dir / t.risk))) else a.log end))[0], a -> a.log)"""
-    return x.select("ticker", "param", F.explode(F.expr(fold)).alias("t")).select("ticker", "param", "t.*")
+    trades = done.filter("reason <> 'NONE'").select("ticker", "date", *[F.col(c).cast("double").alias(c) for c in ("entry", "exit", "dir", "risk")])
+    x = trades.crossJoin(F.broadcast(grid.select("param", F.col("risk_share").cast("double").alias("share"))))  # a few parameter sets
+    x = x.repartition("ticker", "param").sortWithinPartitions("ticker", "param", "date", "entry", "exit", "dir", "risk")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, cap = None, start
+        for f in frames:
+            out, at = [], []
+            for i, (ticker, param, entry, exit_, way, risk, share) in enumerate(zip(f["ticker"], f["param"], f["entry"], f["exit"], f["dir"], f["risk"], f["share"], strict=True)):
+                if (ticker, param) != own:
+                    own, cap = (ticker, param), start
+                bounds = [b for b in (cap * share / risk if risk else math.nan, cap * leverage / entry if entry else math.nan) if b == b]
+                n = max(0, math.floor(min(bounds))) if bounds else 0
+                if n:
+                    pnl = n * (exit_ - entry) * way - n * commission * 2
+                    out.append((n, pnl, cap, cap + pnl, (exit_ - entry) * way / risk if risk else None))
+                    at.append(i)
+                    cap += pnl
+            log = pd.DataFrame(out, columns=["shares", "pnl", "before", "after", "r"])
+            yield pd.concat([f.iloc[at][["ticker", "param", "date"]].reset_index(drop=True), log], axis=1)
+
+    kind = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    return x.mapInPandas(fold, f"ticker {kind['ticker']}, param {kind['param']}, date {kind['date']}, shares bigint, pnl double, before double, after double, r double")
 
 
 def best_parameters(log: DataFrame, *, start: float = 25_000.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over
+from finpanel.operators import stages
 
 BEFORE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -53,13 +54,28 @@ def align_outer_filled(a: DataFrame, b: DataFrame, columns: list[str], on: str =
     return both.select(on, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns]).na.drop(subset=columns)
 
 
-def as_of(rows: DataFrame, series: DataFrame, value: str, *, on: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
-    """J-11: the newest value of the series at or before each row, per key, by one union and one window."""
+def as_of(rows: DataFrame, series: DataFrame, value: str, *, on: str = "date", keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """J-11: the newest value of the series at or before each row, per key, by one union and one window.
+
+    Without keys the union is range-partitioned; each partition carries its own values forward, and begins with the last
+    value of the partitions before it, one for each.
+    """
     left = rows.withColumn("__asks", F.lit(1))
     right = series.select(*keys, on, value).withColumn("__asks", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(on, "__asks").rowsBetween(*BEFORE)
     both = left.unionByName(right, allowMissingColumns=True)
-    return both.withColumn(f"{value}_asof", F.last(F.when(F.col("__asks") == 0, F.col(value)), ignorenulls=True).over(w)).filter("__asks = 1").drop("__asks", value)
+    known = F.when(F.col("__asks") == 0, F.col(value))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(on, "__asks").rowsBetween(*BEFORE)
+        return both.withColumn(f"{value}_asof", F.last(known, ignorenulls=True).over(w)).filter("__asks = 1").drop("__asks", value)
+    both = both.withColumn("__h", F.xxhash64(*both.columns))
+    x = stages.ordered_parts(both, F.col(on), F.col("__asks"), F.col("__h"), parts=parts)
+    order = F.struct(on, "__asks", "__h")
+    last = F.max_by(value, F.when(known.isNotNull(), order)).alias("__last")
+    before = stages.over_parts(last, parts=x, carry={"__before": F.last("__last", ignorenulls=True).over(stages.before_part())})
+    w = Window.partitionBy("__part").orderBy(on, "__asks", "__h").rowsBetween(*BEFORE)
+    x = x.join(F.broadcast(before), "__part")  # a row for each partition
+    found = F.coalesce(F.last(known, ignorenulls=True).over(w), F.col("__before"))
+    return x.withColumn(f"{value}_asof", found).filter("__asks = 1").drop("__asks", "__h", "__part", "__before", value)
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, tolerance: float = 1e-8) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
-from finpanel.operators.stages import cut
+from finpanel.operators.quantiles import exact_quantiles
+from finpanel.operators.stages import behind_part, cut, ordered_parts, over_parts
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -18,8 +19,9 @@ PAST = (Window.unboundedPreceding, Window.currentRow)
 def quantile_state(rows: DataFrame, columns: dict[str, tuple[float, ...]], *, train: Column | None = None) -> DataFrame:
     """R-1: each column's level by quantiles (of the training rows where given), and all levels as one number."""
     base = rows.filter(train) if train is not None else rows
-    q = base.agg(*[F.percentile(c, F.array(*[F.lit(x) for x in qs])).alias(f"__q_{c}") for c, qs in columns.items()])
-    out = rows.crossJoin(F.broadcast(q))  # one row
+    out = rows
+    for c, qs in columns.items():
+        out = out.crossJoin(F.broadcast(exact_quantiles(base, c, list(qs)).withColumnRenamed("q", f"__q_{c}")))  # one row
     code, scale = F.lit(0), 1
     for c, qs in columns.items():
         level = sum((F.when(F.col(c) > F.col(f"__q_{c}")[i], 1).otherwise(0) for i in range(len(qs))), F.lit(0))
@@ -48,12 +50,23 @@ def joint_label(rows: DataFrame, *, bull: Column, bear: Column, neutral: Column)
     return rows.withColumn("label", F.when(bull, "Bull").when(bear, "Bear").when(neutral, "Neutral").otherwise("Other"))
 
 
-def decay_prior(rows: DataFrame, half_life: float, *, key: str | None = None, by: str = "date") -> DataFrame:
-    """R-5: weights that halve every ``half_life`` rows back from the newest, summing to one."""
-    keys = [key] if key else []
-    age = F.row_number().over(over(*keys, by=[F.desc(by)])) - 1
-    rows = rows.withColumn("__p", F.pow(F.lit(2.0), -age / half_life))
-    return rows.withColumn("p", F.col("__p") / F.sum("__p").over(Window.partitionBy(*keys))).drop("__p")
+def decay_prior(rows: DataFrame, half_life: float, *, key: str | None = None, by: str = "date", parts: int | None = None) -> DataFrame:
+    """R-5: weights that halve every ``half_life`` rows back from the newest, summing to one.
+
+    Without a key all rows are one series: they are range-partitioned, each partition ranks its own, and the counts of
+    the partitions behind it, one number for each, are added. Of rows of equal time the order is by their hash.
+    """
+    if key:
+        age = F.row_number().over(over(key, by=[F.desc(by)])) - 1
+        rows = rows.withColumn("__p", F.pow(F.lit(2.0), -age / half_life))
+        return rows.withColumn("p", F.col("__p") / F.sum("__p").over(Window.partitionBy(key))).drop("__p")
+    x = ordered_parts(rows.withColumn("__h", F.xxhash64(*rows.columns)), F.col(by), F.col("__h"), parts=parts)
+    newer = over_parts(F.count(F.lit(1)).alias("__n"), parts=x, carry={"__newer": F.coalesce(F.sum("__n").over(behind_part()), F.lit(0))})
+    age = F.row_number().over(over("__part", by=[F.desc(by), F.desc("__h")])) - 1 + F.col("__newer")
+    x = x.join(F.broadcast(newer), "__part").withColumn("__p", F.pow(F.lit(2.0), -age / half_life))  # a row for each partition
+    # the weights of n rows are a geometric series
+    total = x.agg(F.count(F.lit(1)).alias("__n")).select(((1 - F.pow(F.lit(2.0), -F.col("__n") / half_life)) / (1 - 2.0 ** (-1 / half_life))).alias("__total"))
+    return x.crossJoin(F.broadcast(total)).withColumn("p", F.col("__p") / F.col("__total")).drop("__p", "__h", "__part", "__newer", "__total")  # one row
 
 
 def weighted_moments(rows: DataFrame, *, key: str, value: str, p: str = "p") -> DataFrame:

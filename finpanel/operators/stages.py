@@ -33,18 +33,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ordered_parts(rows: DataFrame, *by: Column | str, parts: int | None = None) -> DataFrame:
-    """``rows`` range-partitioned by ``by``, kept, with the number of their partition as ``__part``; it grows with ``by``.
+def ordered_parts(rows: DataFrame, *by: Column, parts: int | None = None) -> DataFrame:
+    """``rows`` in range partitions by ``by``, kept, with the number of their partition as __part, which grows with ``by``.
 
-    Equal values stand in one partition. The partitions are written, as a second run of a range exchange may cut them
-    elsewhere.
+    The partitions are written, as a second run of a range exchange may cut them elsewhere. Rows that compare as equal stand
+    in one partition, so ``by`` should end with something that tells ties apart.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(rows.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()))
 
 
-def carried(parts: DataFrame, total: Column, *, zero: Column) -> DataFrame:
-    """__part and __before: the sum of ``total`` over all partitions before it; a row for each partition."""
-    sums = parts.groupBy("__part").agg(total.alias("__t"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    return sums.select("__part", F.coalesce(F.sum("__t").over(w), zero).alias("__before"))
+def over_parts(*aggregates: Column, parts: DataFrame, carry: dict[str, Column]) -> DataFrame:
+    """__part with each of ``carry``, window expressions over one row of ``aggregates`` for each partition; as many rows as partitions."""
+    return parts.groupBy("__part").agg(*aggregates).select("__part", *[c.alias(n) for n, c in carry.items()])
+
+
+def before_part():
+    """The window of the partitions before one, over a row for each."""
+    return Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def behind_part():
+    """The window of the partitions behind one."""
+    return Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)

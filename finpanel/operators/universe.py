@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions import at_least, month_index, over, percent_rank_average, safe_div
+from finpanel.operators.quantiles import exact_quantiles
 
 ALL_ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -74,7 +75,7 @@ def last_years(rows: DataFrame, months: int, by: str = "date") -> DataFrame:
 
 def trim_extremes(rows: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """F-11: rows between two quantiles."""
-    q = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = exact_quantiles(rows, column, [low, high]).withColumnRenamed("q", "__q")
     return rows.crossJoin(F.broadcast(q)).filter(F.col(column).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")  # one row
 
 

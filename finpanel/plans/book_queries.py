@@ -221,9 +221,16 @@ def _(t):
     return gaps(t)
 
 
-@query("d14_gap_clusters", "ticker date cluster#")
+# Lloyd's steps, centers in a list, until they stay
+CENTERS = """WITH RECURSIVE k AS (SELECT 0 AS step, [5.0, 10.0, 15.0, 25.0]::DOUBLE[] AS c, true AS moved UNION ALL
+  SELECT step + 1, list(coalesce(m, old) ORDER BY i), bool_or(abs(coalesce(m, old) - old) > 1e-12 * greatest(abs(old), 1)) FROM (
+    SELECT k.step, i, c[i] AS old, avg(size) FILTER (list_position(list_transform(c, lambda z: abs(size - z)), list_min(list_transform(c, lambda z: abs(size - z)))) = i) AS m
+    FROM k, range(1, 5) r(i), (SELECT abs(gap) AS size FROM g WHERE gap IS NOT NULL) WHERE moved GROUP BY k.step, i, c) GROUP BY step)
+SELECT c FROM k ORDER BY step DESC LIMIT 1"""
+
+
+@query("d14_gap_clusters", "ticker date size~7 cluster#", "bars", "SELECT ticker, date, abs(gap) AS size, list_position(list_transform(c, lambda z: abs(abs(gap) - z)), list_min(list_transform(c, lambda z: abs(abs(gap) - z)))) - 1 AS cluster FROM g, cs WHERE gap IS NOT NULL", d=DAYBARS, g=GAPS, cs=CENTERS)
 def _(t):
-    """Rows only: Lloyd's steps are tested against numpy."""
     return B.k_means_1d(gaps(t).withColumn("size", F.abs("gap")), "size", [5.0, 10.0, 15.0, 25.0])[0]
 
 
@@ -259,7 +266,7 @@ def _(t):
     return B.directional_accuracy(B.first_and_rest(t.bars))
 
 
-@query("d16_continuation_model", "ticker n accuracy~6")
+@query("d16_continuation_model", "ticker n accuracy~6 settled")
 def _(t):
     """Rows only: the fitted coefficients are tested for a zero gradient."""
     x = B.first_and_rest(t.bars).join(relative(t), ["ticker", "date"]).withColumn("y", F.col("momentum").cast("double"))
@@ -298,13 +305,21 @@ def grid(t):
     return t.spark.createDataFrame([(1, 0.005), (2, 0.01), (3, 0.02)], "param int, risk_share double")
 
 
-@query("o5_sized_trade_log", "ticker param# date shares pnl~6 before~4 after~4")
+# one step of the recursion is the next trade of every ticker and parameter
+SIZED = """WITH RECURSIVE tr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM ex),
+f AS (SELECT ticker, param, share, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS date, CAST(0 AS DOUBLE) AS shares, CAST(0 AS DOUBLE) AS pnl, CAST(25000 AS DOUBLE) AS before, CAST(25000 AS DOUBLE) AS after
+  FROM (SELECT DISTINCT ticker FROM tr), (VALUES (1, 0.005::DOUBLE), (2, 0.01::DOUBLE), (3, 0.02::DOUBLE)) v(param, share) UNION ALL
+  SELECT ticker, param, share, rn, date, n, n * (exit_px - entry) * dir - n * 0.0005 * 2, cap, cap + (n * (exit_px - entry) * dir - n * 0.0005 * 2) FROM (
+    SELECT f.ticker, param, share, tr.rn, tr.date, exit_px, entry, dir, f.after AS cap, greatest(0, floor(least(f.after * share / risk, f.after * 4.0::DOUBLE / entry))) AS n FROM f JOIN tr ON tr.ticker = f.ticker AND tr.rn = f.rn + 1))
+SELECT ticker, param, date, CAST(shares AS BIGINT) AS shares, pnl, before, after FROM f WHERE rn > 0 AND shares >= 1"""
+
+
+@query("o5_sized_trade_log", "ticker param# date shares pnl~6 before~4 after~4", "bars", "SELECT * FROM sized", sig=SIG, ex=EXIT, sized=SIZED)
 def _(t):
-    """Rows only: the capital fold is tested against a plain loop."""
     return B.trade_log(done(t), grid(t))
 
 
-@query("o6_parameter_grid", "ticker best# final~4 total_ret~8")
+@query("o6_parameter_grid", "ticker best# final~4 total_ret~8", "bars", "SELECT ticker, arg_max(param, row(final, param)) AS best, max(final) AS final, max(final) / 25000 - 1 AS total_ret FROM (SELECT ticker, param, arg_max(after, date) AS final FROM sized GROUP BY ALL) GROUP BY ticker", sig=SIG, ex=EXIT, sized=SIZED)
 def _(t):
     return B.best_parameters(B.trade_log(done(t), grid(t)))
 

@@ -99,18 +99,49 @@ def test_k_means_and_continuation(spark):
     rng = np.random.default_rng(1)
     v = np.abs(rng.normal(0, 10, 200))
     t = frame(spark, [(float(x),) for x in v], "x double")
-    _, got = bars.k_means_1d(t, "x", [5.0, 10.0, 15.0, 25.0], rounds=5)
-    c = np.array([5.0, 10.0, 15.0, 25.0])
-    for _ in range(5):
+    _, got = bars.k_means_1d(t, "x", [5.0, 10.0, 15.0, 25.0])
+    c, steps = np.array([5.0, 10.0, 15.0, 25.0]), 0
+    while True:
         own = np.abs(v[:, None] - c[None, :]).argmin(axis=1)
-        c = np.array([v[own == k].mean() if (own == k).any() else c[k] for k in range(4)])
+        new = np.array([v[own == k].mean() if (own == k).any() else c[k] for k in range(4)])
+        if np.allclose(new, c, rtol=1e-13):
+            break
+        c, steps = new, steps + 1
+    assert steps > 10
+    with pytest.raises(RuntimeError, match="not settled after 3"):
+        bars.k_means_1d(t, "x", [5.0, 10.0, 15.0, 25.0], rounds=3)
     assert np.allclose(got, c)
     x = rng.normal(0, 1, 400)
     y = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + 1.5 * x)))).astype(float)
     t = frame(spark, [(1, float(a), float(b)) for a, b in zip(x, y, strict=True)], "k int, x double, y double")
     r = bars.continuation_model(t, key="k", x="x", y="y").first()
     p = 1 / (1 + np.exp(-(r.a + r.b * x)))
-    assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * x).sum()) < 1e-6
+    assert r.settled and abs((y - p).sum()) < 1e-6 and abs(((y - p) * x).sum()) < 1e-6
+    apart = t.unionByName(frame(spark, [(2, float(i), float(i > 5)) for i in range(12)] + [(3, None, 1.0)], t.schema))
+    assert {r.k: r.settled for r in bars.continuation_model(apart, key="k", x="x", y="y").collect()} == {1: True, 2: False}
+
+
+def test_capital_folds_over_many_batches(spark):
+    """A ticker's trades over many batches beside others: the capital of a plain loop, whatever the size of a batch."""
+    rng = np.random.default_rng(12)
+    rows = [(t, D(2000, 1, 1) + dt.timedelta(i), float(rng.uniform(50, 150)), float(rng.uniform(50, 150)), int(rng.choice([-1, 1])), float(rng.uniform(0.5, 9)), "TIME") for t, n in (("A", 3000), ("B", 1), ("C", 700)) for i in range(n)]
+    trades = frame(spark, rows, "ticker string, date date, entry double, exit double, dir int, risk double, reason string").repartition(5)
+    grid = frame(spark, [(1, 0.002), (2, 0.0005)], "param int, risk_share double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.ticker, r.param, r.date): (r.shares, r.after) for r in bars.trade_log(trades, grid, start=1e6).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for ticker in "ABC":
+        for param, share in ((1, 0.002), (2, 0.0005)):
+            cap = 1e6
+            for k, d, entry, exit_, way, risk_, _ in rows:
+                n = int(max(0, np.floor(min(cap * share / risk_, cap * 4 / entry)))) if k == ticker else 0
+                if n:
+                    cap += n * (exit_ - entry) * way - n * 0.0005 * 2
+                    assert got.pop((ticker, param, d)) == (n, pytest.approx(cap))
+    assert not got
 
 
 def test_breakout_touched_on_the_entry_bar_and_capital_fold(spark):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from finpanel.operators import regimes, risk, windows
+from finpanel.operators import joins, quantiles, regimes, risk, windows
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 300])
@@ -89,3 +89,39 @@ def test_many_views_in_one_plan(spark):
     assert regimes.reweight_views(t.limit(0), [F.col("x")], {"a": [1.0]}).count() == 0
     ladder = regimes.view_ladder(t, "x", [0.1, 99.0], portfolio="y").collect()
     assert sorted((r.target, r.settled) for r in ladder) == [(0.1, True), (99.0, False)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_scans_without_a_key(spark, parts):
+    """Weights and as-of values over any number of partitions, with ties, gaps and rows before the first value."""
+    rng = np.random.default_rng(parts)
+    days = pd.date_range("2020-01-01", periods=40)
+    rows = [(days[int(i)].date(), k) for k, i in enumerate(rng.integers(0, 40, 90))]
+    t = spark.createDataFrame(rows, "date date, i int")
+    p = regimes.decay_prior(t, 7.0, parts=parts).select("date", "i", "p").collect()
+    assert len(p) == 90 and sum(r.p for r in p) == pytest.approx(1)
+    assert sorted(r.p for r in p) == pytest.approx(sorted(2.0 ** (-a / 7) / sum(2.0 ** (-b / 7) for b in range(90)) for a in range(90)))
+    ordered = sorted(p, key=lambda r: r.p)
+    assert [r.date for r in ordered] == sorted(r.date for r in ordered)
+    known = [(days[i].date(), None if i % 3 == 0 else float(i)) for i in range(4, 40, 5)]
+    got = joins.as_of(t, spark.createDataFrame(known, "date date, level double"), "level", parts=parts).collect()
+    assert sorted((r.i, r.level_asof) for r in got) == sorted((i, next((v for d, v in reversed(known) if v is not None and d <= day), None)) for day, i in rows)
+    assert regimes.decay_prior(t.limit(0), 7.0, parts=parts).count() == 0
+
+
+@pytest.mark.parametrize("held", [10**6, 60, 5])
+def test_exact_quantiles(spark, held):
+    """Groups of one value to thousands, with ties, gaps, NaN and infinities, through brackets of any size: as ``percentile`` gives them."""
+    rng = np.random.default_rng(8)
+    rows = [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0)]
+    rows += [("wide", float(v)) for v in rng.normal(size=4000) * np.exp(3 * rng.normal(size=4000))]
+    rows += [("ties", float(v)) for v in rng.integers(0, 3, 3000)] + [("two", float(v)) for v in np.repeat([1.0, 2.0], 500)] + [("same", 7.0)] * 900
+    rows += [("mixed", v) for v in [None, float("inf"), -float("inf")] * 30 + list(map(float, range(200)))]
+    t = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.025, 0.25, 0.5, 0.501, 0.75, 0.99, 1.0]
+    want = {r.k: r.q for r in t.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q")).collect()}
+    got = {r.k: r.q for r in quantiles.exact_quantiles(t, "v", shares, key="k", held=held).collect()}
+    assert str(got) == str({k: want[k] for k in got}) and got.keys() == want.keys()
+    whole = t.filter("k = 'wide' or k = 'ties'")
+    assert quantiles.exact_quantiles(whole, "v", shares, held=held).first().q == whole.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+    assert [tuple(r) for r in quantiles.exact_quantiles(t.limit(0), "v", shares, held=held).collect()] == [(None,)]
