@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from finpanel.functions import month_index, over, safe_div
+from finpanel.operators import panel
 from finpanel.operators.reshape import to_wide
+from finpanel.operators.stages import fresh_path
 from finpanel.plans.catalog import query
 from finpanel.sources import files as S
 
@@ -47,9 +50,6 @@ def _(t):
 
 def _written(t, df, name: str) -> str:
     """A new folder below the one that all machines share, with a CSV copy of ``df``."""
-
-    from finpanel.operators.stages import fresh_path
-
     path = fresh_path(t.spark, name)
     S.write_csv(df, path)
     return path
@@ -81,12 +81,35 @@ def _(t):
     return t.spark.read.schema("assetid long, date date, turnover double, volume double").option("header", True).csv(path)
 
 
-@query("s9_manifest_audit", "status files# bytes#", "", "SELECT CASE WHEN page_id % 7 = 0 THEN 'unsafe' WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 3 = 0 THEN 'size' ELSE 'ok' END AS status, count(*) AS files, sum(coalesce(strlen(html), 0) + CASE WHEN page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0 THEN 1 ELSE 0 END) AS bytes FROM pages GROUP BY ALL")
+@query("s9_manifest_audit", "status files# bytes#", "", "SELECT CASE WHEN b % 7 = 0 THEN 'unsafe' WHEN b % 5 = 0 THEN 'missing' WHEN b % 3 = 0 THEN 'size' ELSE 'ok' END AS status, count(*) AS files, sum(bytes) AS bytes FROM (SELECT page_id % 64 AS b, sum(coalesce(strlen(html), 0) + 1) AS bytes FROM pages GROUP BY ALL) GROUP BY ALL")
 def _(t):
-    """Each page as a file: its path below a root and its size in the manifest, and what the root lists."""
-    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    p = t.raw("pages").select("page_id", size.alias("length"), F.format_string("%02d/%d.html", F.col("page_id") % 16, F.col("page_id")).alias("relative_path"))
-    wrong = (F.col("page_id") % 3 == 0) & (F.col("page_id") % 5 != 0) & (F.col("page_id") % 7 != 0)
-    entry = F.struct(F.lit("pages").alias("table"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("../"), "relative_path")).otherwise(F.col("relative_path")).alias("relative_path"), (F.col("length") + wrong.cast("long")).alias("bytes"))
-    audit = S.manifest_audit(p.select(F.array(entry).alias("table_files")), p.filter("page_id % 5 <> 0").select("relative_path", "length"))
-    return audit.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    """All pages as text files in 64 folders; a manifest with sizes from the table, and paths as listed but for those that it gets wrong on purpose; and the folder's own listing."""
+    path = fresh_path(t.spark, "pages")
+    p = t.raw("pages").select(F.pmod("page_id", F.lit(64)).cast("int").alias("b"), F.coalesce("html", F.lit("")).alias("html"))
+    p.repartition("b").write.partitionBy("b").text(path)
+    listed = S.listed_files(t.spark, path)
+    bucket = F.regexp_extract("relative_path", "^b=([0-9]+)/", 1).cast("int")
+    real = listed.select(bucket.alias("b"), "relative_path")
+    sizes = p.groupBy("b").agg(F.sum(F.octet_length("html") + 1).alias("bytes")).join(real, "b")
+    given = F.when(F.col("b") % 7 == 0, F.concat(F.lit("../"), "relative_path")).when(F.col("b") % 5 == 0, F.concat("relative_path", F.lit(".gone"))).otherwise(F.col("relative_path"))
+    wrong = (F.col("b") % 3 == 0) & (F.col("b") % 5 != 0) & (F.col("b") % 7 != 0)
+    entry = F.struct(F.lit("pages").alias("table"), given.alias("relative_path"), (F.col("bytes") + wrong.cast("long")).alias("bytes"))
+    audit = S.manifest_audit(sizes.select(F.array(entry).alias("table_files")), listed)
+    return audit.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("bytes") - (F.col("status") == "size").cast("long")).alias("bytes"))
+
+
+PANEL = "SELECT m.assetid, m.ym, m.open, m.close, m.n_obs, m.ret, s.traded, s.drop_ FROM monthly m JOIN (SELECT assetid, year(date) * 12 + month(date) AS ym, count(*) FILTER (volume > 0) AS traded, min(dret) AS drop_ FROM (SELECT *, close / lag(close) OVER (PARTITION BY assetid ORDER BY date) - 1 AS dret FROM daily) GROUP BY ALL) s USING (assetid, ym)"
+
+
+@query("s5_bucketed_panel", "assetid ym# open~6 close~6 n_obs ret~8 traded drop_~8", "monthly daily", PANEL)
+def _(t):
+    """The daily bars written once in buckets; roll-up, state, returns and their join read them without an exchange."""
+    path = fresh_path(t.spark, "bars")
+    return bucketed_panel(S.write_bucketed(t.daily, f"bars_{path.rpartition('-')[2]}", path, key="assetid", by="date", buckets=16))
+
+
+def bucketed_panel(daily):
+    """Monthly bars and returns with days traded and the worst daily return."""
+    day = daily.withColumn("dret", safe_div(F.col("close"), F.lag("close").over(over("assetid", by="date"))) - 1).withColumn("ym", month_index(F.col("date")))
+    state = day.groupBy("assetid", "ym").agg(F.count_if(F.col("volume") > 0).alias("traded"), F.min("dret").alias("drop_"))
+    return panel.with_returns(panel.to_monthly(daily)).join(state, ["assetid", "ym"])

@@ -5,6 +5,7 @@ from finpanel.sources.files import (  # noqa: F401
     csv_panel,
     fx_series,
     json_records,
+    listed_files,
     manifest_audit,
     membership_intervals,
     observations,
@@ -12,6 +13,7 @@ from finpanel.sources.files import (  # noqa: F401
     read_stage,
     rename_columns,
     wide_prices,
+    write_bucketed,
     write_csv,
     write_stage,
 )

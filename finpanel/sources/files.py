@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,16 @@ def read_stage(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, *, key: str, by: str, buckets: int = 64) -> DataFrame:
+    """S-5: a Parquet stage as a table at a shared path, in ``buckets`` by ``key``, one file each, sorted by ``key`` and ``by``.
+
+    Roll-ups and windows by the key, with whatever else, and joins of such tables on it read the buckets as they lie: no
+    exchange. Joins on the key and more columns do so too where spark.sql.requireAllClusterKeysForCoPartition is false. The number of buckets bounds the tasks, so it should follow the data.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key, by).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """S-8: a CSV sink with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -104,9 +116,10 @@ def manifest_audit(manifest: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path and length of all files below a folder."""
+    """relative_path and length of all files below a folder, which may be named with its scheme or without; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.select(F.regexp_replace("path", rf"^.*?{root.rstrip('/')}/", "").alias("relative_path"), "length")
+    plain = re.sub(r"^[a-z0-9+.-]+:/+", "/", root).rstrip("/")
+    return files.select(F.expr(f"substring(path, instr(path, '{plain}/') + {len(plain) + 1})").alias("relative_path"), "length")
 
 
 def product_bytes(audit: DataFrame) -> DataFrame:

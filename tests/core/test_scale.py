@@ -125,3 +125,23 @@ def test_exact_quantiles(spark, held):
     whole = t.filter("k = 'wide' or k = 'ties'")
     assert quantiles.exact_quantiles(whole, "v", shares, held=held).first().q == whole.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
     assert [tuple(r) for r in quantiles.exact_quantiles(t.limit(0), "v", shares, held=held).collect()] == [(None,)]
+
+
+def test_bucketed_bars_need_no_exchange(spark, tmp_path):
+    """Roll-up, windows and their join on a bucketed table: no exchange in the plan, and the rows of the plain one."""
+    from finpanel.plans.adapters import Tables
+    from finpanel.plans.source_queries import bucketed_panel
+    from finpanel.sources import write_bucketed
+
+    daily = Tables(spark, "/root/testdata/sf0.001").daily
+    table = write_bucketed(daily, "bars_in_buckets", str(tmp_path / "bars"), key="assetid", by="date", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    got = bucketed_panel(table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(bucketed_panel(daily))
+    for name in ("autoBroadcastJoinThreshold", "requireAllClusterKeysForCoPartition"):
+        spark.conf.unset(f"spark.sql.{name}")
+    spark.sql("drop table bars_in_buckets")
