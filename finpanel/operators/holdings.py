@@ -102,7 +102,8 @@ def degree_filter(pairs: DataFrame, *, least_assets: int, least_investors: int,
     Dates are independent. Those of up to ``task_pairs`` distinct pairs are peeled in a task each, all rounds at once;
     larger ones go through rounds of joins whose work falls with what a round removes. Rows with a null in a key are dropped.
     """
-    keys = cut(pairs.select(*PAIR).na.drop().distinct())
+    pairs = cut(pairs.na.drop(subset=PAIR))  # read twice
+    keys = pairs.select(*PAIR).distinct()
     large = cut(keys.groupBy("report_date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_pairs).select("report_date"))
     kinds = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in PAIR)
     peeled = cut(keys.join(large, "report_date", "left_anti").groupBy("report_date").applyInArrow(_peel(least_assets, least_investors), f"{kinds}, round int, change long"))

@@ -28,7 +28,8 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self.trades.groupBy("assetid", "date").agg(
+        # dealt by asset once: days, months and windows of an asset need no further exchange
+        return self.trades.repartition("assetid").groupBy("assetid", "date").agg(
             F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("qty").alias("volume"), F.sum("notional").alias("turnover")
         )
 
