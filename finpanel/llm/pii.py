@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from finpanel.llm.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
+#: A match that begins inside a run of a pattern's first characters could begin at the run's first one as well. So emails and
+#: IPs begin there, or where the last match ended (\\G), and a long run is read once, not again from each of its characters.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
