@@ -147,9 +147,24 @@ def _(t):
     return K.stale_prices(t.daily, t.calendar)
 
 
-@query("p8_mark_to_market", "strategy period# date n_positions equity~2")
+# the recursion goes from a strategy's interval to its next one; its costs compare weights with what the interval before has left
+MARKED = {
+    "book": BOOK, "stale": STALE,
+    "dates": "SELECT m.ym, c.date AS exec_date FROM (SELECT ym, max(date) AS d FROM monthly GROUP BY ym) m JOIN calendar k ON k.date = m.d LEFT JOIN calendar c ON c.ordinal = k.ordinal + 1",
+    "held": "SELECT strategy, period, exec_date, next_date, assetid, leg, 0.005 / count(*) OVER (PARTITION BY strategy, ym, leg) AS w FROM (SELECT b.strategy, b.ym, b.period, a.exec_date, z.exec_date AS next_date, b.assetid, b.leg FROM book b JOIN dates a ON a.ym = b.ym JOIN dates z ON z.ym = b.ym + 1 WHERE b.strategy = 'mom_6' AND a.exec_date IS NOT NULL AND z.exec_date IS NOT NULL)",
+    "marks": "SELECT *, product(step) OVER (PARTITION BY strategy, period, leg, assetid ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT h.*, s.date, 1 + CASE leg WHEN 'long' THEN 1 ELSE -1 END * coalesce(px / nullif(px0, 0) - 1, 0) - CASE leg WHEN 'long' THEN 0.05::DOUBLE / 365 ELSE -0.02::DOUBLE / 365 END AS step FROM held h JOIN (SELECT assetid, date, px, lag(px) OVER (PARTITION BY assetid ORDER BY date) AS px0 FROM stale) s ON s.assetid = h.assetid AND s.date > h.exec_date AND s.date <= h.next_date)",
+    "ends": "SELECT strategy, period, leg, assetid, arg_max(g, date) AS g, max(w) AS w FROM marks GROUP BY ALL",
+    "intervals": "SELECT strategy, period, sum(w * (g - 1)) AS growth, row_number() OVER (PARTITION BY strategy ORDER BY period) AS rn FROM ends GROUP BY strategy, period",
+    "moves": "SELECT strategy, period, assetid, sum(w) AS w, sum(h) AS h FROM (SELECT strategy, period, assetid, w, 0 AS h FROM held UNION ALL SELECT strategy, period + 1, assetid, 0, w * g FROM ends) GROUP BY ALL",
+    "starts": """WITH RECURSIVE st AS (SELECT DISTINCT strategy, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS period, 100000::DOUBLE AS e, 0::DOUBLE AS c, 100000::DOUBLE AS after, 1::DOUBLE AS f FROM intervals UNION ALL
+  SELECT strategy, rn, period, e, c, e * (1 - c + growth), 1 - c + growth FROM (SELECT st.strategy, i.rn, i.period, st.after AS e, growth, 0.001::DOUBLE * sum(abs(m.w - m.h / st.f)) AS c
+    FROM st JOIN intervals i ON i.strategy = st.strategy AND i.rn = st.rn + 1 JOIN moves m ON m.strategy = i.strategy AND m.period = i.period GROUP BY ALL))
+SELECT strategy, period, e, c FROM st WHERE rn > 0""",
+}
+
+
+@query("p8_mark_to_market", "strategy period# date n_positions equity~2", "calendar monthly features", "SELECT strategy, period, date, n_positions, e * (1 - c + s) AS equity FROM (SELECT strategy, period, date, sum(w * (g - 1)) AS s, count(*) AS n_positions FROM marks GROUP BY ALL) JOIN starts USING (strategy, period)", **MARKED)
 def _(t):
-    """Rows only: the recursion over periods is tested against a day-by-day restatement."""
     m = t.monthly.groupBy("ym").agg(F.max("date").alias("d"))
     ex = m.join(joins.execution_dates(m.withColumnRenamed("d", "date"), t.calendar), m["d"] == F.col("date")).select("ym", "exec_date")
     b = book(t).filter("strategy = 'mom_6'").join(ex, "ym").join(ex.select((F.col("ym") - 1).alias("ym"), F.col("exec_date").alias("next_date")), "ym").filter("exec_date is not null and next_date is not null")
@@ -266,9 +281,17 @@ def _(t):
     return B.directional_accuracy(B.first_and_rest(t.bars))
 
 
-@query("d16_continuation_model", "ticker n accuracy~6 settled")
+# Newton's steps of every ticker, until its coefficients stay
+LOGIT = """WITH RECURSIVE m AS (SELECT 0 AS step, ticker, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, false AS settled FROM (SELECT DISTINCT ticker FROM xy) UNION ALL
+  SELECT step + 1, ticker, a + da, b + db, abs(da) <= 1e-8 * (1 + abs(a)) AND abs(db) <= 1e-8 * (1 + abs(b)) FROM (
+    SELECT step, ticker, a, b, (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1 + 1e-9) AS da, (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1 + 1e-9) AS db FROM (
+      SELECT step, ticker, a, b, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(y - p) AS g0, sum((y - p) * x) AS g1 FROM (
+        SELECT *, greatest(p * (1 - p), 1e-9) AS w FROM (SELECT m.*, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM m JOIN xy ON xy.ticker = m.ticker WHERE NOT settled AND step < 30)) GROUP BY ALL)))
+SELECT ticker, arg_max(a, step) AS a, arg_max(b, step) AS b, arg_max(settled, step) AS settled FROM m GROUP BY ticker"""
+
+
+@query("d16_continuation_model", "ticker n accuracy~6 settled", "bars", "SELECT ticker, count(*) AS n, avg(CAST((CASE WHEN a + b * x > 0 THEN 1 ELSE 0 END) = y AS DOUBLE)) AS accuracy, settled FROM xy JOIN lg USING (ticker) GROUP BY ALL", d=DAYBARS, f=FIRST, rv=RELV, xy="SELECT ticker, CAST(momentum AS DOUBLE) AS y, rel_vol AS x FROM f JOIN rv USING (ticker, date) WHERE momentum IS NOT NULL AND rel_vol IS NOT NULL", lg=LOGIT)
 def _(t):
-    """Rows only: the fitted coefficients are tested for a zero gradient."""
     x = B.first_and_rest(t.bars).join(relative(t), ["ticker", "date"]).withColumn("y", F.col("momentum").cast("double"))
     return B.continuation_model(x, key="ticker", x="rel_vol", y="y")
 
