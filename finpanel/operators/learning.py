@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finpanel.functions import month_index, safe_div
+from finpanel.functions import safe_div
 from finpanel.operators.joins import history
 
 
@@ -76,7 +76,3 @@ def walk_forward(panel: DataFrame, features: list[str], *, label: str = "label",
     if out is None:
         raise ValueError("the panel is shorter than the first training span")
     return out
-
-
-def month_of(column: str):
-    return month_index(F.col(column))
