@@ -41,7 +41,7 @@ def test_signals_of_bars_in_any_order(spark, tmp_path):
     """Bars of a day come mixed, over several batches, within the watermark: the batch rows, each once; then the state is empty."""
     dice = random.Random(4)
     rows, pieces = [], []
-    for day in range(2, 9):
+    for day in range(2, 6):
         own = [b for t in ("A", "B", "C") for b in day_bars(dice, t, day)]
         dice.shuffle(own)
         rows += own
@@ -49,7 +49,7 @@ def test_signals_of_bars_in_any_order(spark, tmp_path):
     end = ("Z", dt.datetime(2020, 2, 1, 9, 30), 1.0, 1.0, 1.0, 1.0, 1.0)  # brings the watermark behind all days
     want = sorted(map(tuple, bars.signals(spark.createDataFrame(rows, BARS)).collect()))
     got, state = run(spark, tmp_path, [*pieces, [end]], BARS, lambda s: first_touch_stream(s, "6 hours"), "signals_mixed")
-    assert len(want) > 5 and sorted(map(tuple, got)) == want
+    assert len(want) > 2 and sorted(map(tuple, got)) == want
     assert sum(state) <= 3  # the last bar's own day: its state and its timer
 
 
@@ -73,7 +73,7 @@ def test_lagged_signals(spark, tmp_path, late):
     dice = random.Random(6)
     schema = "k string, ts timestamp, ret double, sig int"
     rows, pieces = [], []
-    for hour in range(0, 120, 6):
+    for hour in range(0, 54, 6):
         own = [(k, dt.datetime(2020, 1, 2) + dt.timedelta(hours=hour + h, seconds=dice.randrange(1, 3000)), dice.random(), dice.choice([None, None, 1, -1])) for k in "AB" for h in (0, 0.9, 1.7)]
         dice.shuffle(own)
         rows += own
