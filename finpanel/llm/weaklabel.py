@@ -1,9 +1,10 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristic labellers look at every whole text, and each votes for good, for bad, or not at all by its own
-measure alone, so that their votes meet and conflict. The votes of all documents become counts of vote patterns (at most
-3 to the 8th), and expectation-maximisation over these counts estimates how often each labeller votes how on good and on
-bad documents, and so how far it can be trusted. The posterior of a document's pattern is its soft label. Soft labels of a bounded sample of rows train a linear scorer on hashed pairs of neighbouring bytes and
+measure alone, so that their votes meet and conflict; each common fault is seen by two of them at least. The votes of all
+documents become counts of vote patterns (at most 3 to the 10th), and expectation-maximisation over these counts
+estimates how often each labeller votes how on good and on bad documents, and so how far it can be trusted. Its prior
+is worth a few rows at every size, so that it is the votes that meet which decide. The posterior of a document's pattern is its soft label. Soft labels of a bounded sample of rows train a linear scorer on hashed pairs of neighbouring bytes and
 on the levels of the labellers' measures, hashed alike, and the scorer judges every document.
 
 The sample is the only part that doesn't cover all rows: about ``sample_rows`` rows, picked by a hash of id and text,
@@ -44,6 +45,8 @@ LABELLERS = (
     ("digits", 0.6, 0.5),  # digits among letters and digits
     ("endless", 150.0, 100.0),  # words for each full stop
     ("long", 15.0, 13.0),  # mean characters of a word
+    ("echoing", 0.3, 0.15),  # words equal to one of the two words before
+    ("symbols", 0.08, 0.04),  # odd symbols among visible characters
 )
 VOTERS = len(LABELLERS)
 #: Levels into which a measure falls, as shares of its bad value.
@@ -78,10 +81,11 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[1] = upper / np.maximum(upper + lower, 1)
     out[2] = words_with(data == 33) / some
     out[3] = (n - words_with(ALPHA[data])) / some
+    hashes = K.range_hashes(data, start, end)
     inside = K.gram_inside(doc, 5)
     if inside.any():
         own = doc[: len(inside)][inside]
-        grams = K.mix(K.gram_hashes(K.range_hashes(data, start, end), 5)[inside] + own.astype(K.U64) * K.U64(K.BASES[1]))
+        grams = K.mix(K.gram_hashes(hashes, 5)[inside] + own.astype(K.U64) * K.U64(K.BASES[1]))
         _, first = np.unique(grams, return_index=True)
         distinct = np.bincount(own[first], minlength=docs)
         all_ = np.bincount(own, minlength=docs)
@@ -90,6 +94,11 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[5] = digits / np.maximum(letters + digits, 1)
     out[6] = n / np.maximum(stops, 0.5)
     out[7] = visible / some
+    echo = np.zeros(len(hashes), dtype=bool)
+    for lag in (1, 2):
+        echo[lag:] |= (hashes[lag:] == hashes[:-lag]) & (doc[lag:] == doc[:-lag])
+    out[8] = np.bincount(doc, weights=echo, minlength=docs) / some
+    out[9] = total(ODD[data]) / np.maximum(visible, 1)
     return out, n
 
 
@@ -133,24 +142,24 @@ class Labels:
         return self.good * self.says_good[:, 1] + (1 - self.good) * (1 - self.says_good[:, 0])
 
 
-def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, *, wrong: float = 0.001, belief: float = 10.0, rounds: int = 300) -> Labels:
+def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, *, sure: float = 9.0, rounds: int = 500) -> Labels:
     """Two classes, votes independent given the class, having none independent of it.
 
-    Each labeller looks for one fault only, so texts with a vote for bad start as bad; the rounds then weigh each vote
-    against the others by the rates they find. The prior, which counts ``belief`` times the corpus at every size, is that
-    a labeller finds its fault on the share ``wrong`` of good texts; on bad ones it may find it as often as it likes.
+    A text starts as good with the share of good ones among its votes; the rounds then weigh each vote against the others
+    by the rates they find. The prior is worth ``sure`` + 1 votes of a labeller on good texts, of which ``sure`` say good,
+    and two on bad ones, one of each kind; it does not grow with the corpus.
     """
     votes = unpattern(codes)
-    post = np.where((votes == 2).any(axis=0), 0.05, 0.95)
+    post = ((votes == 1).sum(axis=0) + 1) / ((votes > 0).sum(axis=0) + 2)
     weights = counts.astype(float)
     total = max(weights.sum(), 1.0)
     found = Labels(0.5, np.full((len(votes), 2), 0.5), 0)
     for i in range(rounds):
         rates = np.empty((len(votes), 2))
-        for c, share, prior in ((0, weights * (1 - post), 0.0), (1, weights * post, belief * total)):
+        for c, share, prior in ((0, weights * (1 - post), 1.0), (1, weights * post, sure)):
             for j in range(len(votes)):
                 n = np.bincount(votes[j], weights=share, minlength=3)
-                rates[j, c] = (n[1] + prior * (1 - wrong) + 1) / (n[1] + n[2] + prior + 2)
+                rates[j, c] = (n[1] + prior) / (n[1] + n[2] + prior + 1)
         found = Labels(float(np.clip((weights * post).sum() / total, 1e-6, 1 - 1e-6)), rates, i + 1)
         new = found.posterior(codes)
         if np.abs(new - post).max(initial=0) < 1e-6:
