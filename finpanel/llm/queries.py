@@ -172,16 +172,16 @@ def _literal(text: str) -> str:
 
 
 ORACLE_SQL["op10_licences"] = rf"""
-WITH tw AS (SELECT i, licence, regexp_extract_all(lower(t), {WORDS_10}) AS w FROM (VALUES {", ".join(f"({i}, {_literal(n)}, {_literal(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))}) v(i, licence, t)),
-tg AS (SELECT i, licence, len(w) - 1 AS size, w[k] || ' ' || w[k + 1] AS gram, count(*) AS m FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tw) GROUP BY ALL),
-u AS (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id, unit FROM (
-  SELECT doc_id, unnest(list_concat(list_concat(string_split(lower(text), chr(10)), p), list_concat([lower(text)], list_filter(
-    flatten([[array_to_string(p[i : i + k - 1], chr(10) || chr(10)) for i in range(1, len(p) - k + 2)] for k in range(2, least({licences.RUN}, len(p) - 1) + 1)]), lambda x: len(regexp_extract_all(x, {WORDS_10})) >= {licences.RUN_WORDS})))) AS unit
-  FROM (SELECT doc_id, text, string_split_regex(lower(text), '\n\s*\n') AS p FROM documents)))),
-uw AS (SELECT doc_id, u, regexp_extract_all(unit, {WORDS_10}) AS w FROM u),
-ug AS (SELECT doc_id, u, len(w) - 1 AS a, w[k] || ' ' || w[k + 1] AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w))) AS k FROM uw) GROUP BY doc_id, u, len(w), w[k] || ' ' || w[k + 1]),
-d AS (SELECT doc_id, u, licence, 2.0 * sum(least(n, m)) / (a + size) AS score FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, a, i, licence, size),
-best AS (SELECT doc_id, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, count(DISTINCT u) AS n_units FROM d WHERE score >= 0.8 - 1e-12 GROUP BY doc_id)
+WITH tw AS (SELECT i, licence, t, regexp_extract_all(lower(x), {WORDS_10}) AS w FROM (VALUES {", ".join(f"({i}, {_literal(n)}, {_literal(x)}, {0.8 if i < len(licences.TEMPLATES) else 0.9})" for i, (n, x) in enumerate(licences.TEMPLATES + licences.TEXTS))}) v(i, licence, x, t)),
+tg AS (SELECT i, licence, t, len(w) - 1 AS size, w[k] || ' ' || w[k + 1] AS gram, count(*) AS m FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tw) GROUP BY ALL),
+pw AS (SELECT DISTINCT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\n\s*\n'), lambda x: regexp_extract_all(x, {WORDS_10})), lambda w: len(w) > 0) AS p FROM documents),
+runs AS (SELECT doc_id, p, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM pw WHERE len(p) > 2)),
+u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(list_concat(list_concat(string_split(lower(text), chr(10)), string_split_regex(lower(text), '\n\s*\n')), [lower(text)])) AS unit FROM documents)),
+uw AS (SELECT *, row_number() OVER () AS u FROM (SELECT doc_id, false AS run, regexp_extract_all(unit, {WORDS_10}) AS w FROM u
+       UNION ALL SELECT doc_id, true AS run, flatten(p[i : j]) AS w FROM runs WHERE i > 1 OR j < len(p))),
+ug AS (SELECT doc_id, run, u, len(w) - 1 AS a, w[k] || ' ' || w[k + 1] AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w))) AS k FROM uw) GROUP BY doc_id, run, u, len(w), w[k] || ' ' || w[k + 1]),
+d AS (SELECT doc_id, run, u, licence, t, 2.0 * sum(least(n, m)) / (a + size) AS score FROM ug JOIN tg USING (gram) GROUP BY doc_id, run, u, a, i, licence, size, t),
+best AS (SELECT doc_id, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, count(DISTINCT CASE WHEN NOT run THEN u END) AS n_units FROM d WHERE score >= t - 1e-12 GROUP BY doc_id)
 SELECT documents.doc_id, licence, round(coalesce(score, 0.0), 6) AS score, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)"""
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
