@@ -31,6 +31,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finpanel.llm.storage import written
+
 #: Texts of public licences and of their usual notices.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -169,6 +171,7 @@ def _texts_of(runs: DataFrame, paras: DataFrame) -> DataFrame:
 def _best_runs(held: DataFrame, tables: DataFrame, shortest: int, longest: int) -> DataFrame:
     """The best scores of runs of paragraphs: doc_id, h, licence, score."""
     paras, runs = _runs(held, tables, longest)
+    runs = written(runs, "licence-runs")
     top = runs.groupBy("doc_id", "h", "template").agg(F.max_by(F.struct("first", "final"), F.struct("bound", -F.col("first"), -F.col("final"))).alias("r")).select("doc_id", "h", "r.*")
     seen = _scores(_texts_of(top, paras), tables, shortest, longest).select("doc_id", "h", "licence", "score")
     floor = seen.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.max("score").alias("floor"))
@@ -197,7 +200,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     def has_some(column: Column) -> Column:
         return reduce(or_, (F.contains(column, F.lit(w)) for w in shortest), F.lit(False))
 
-    held = rows.withColumn("lowered", lowered).filter(has_some(lowered)).select("doc_id", "h", "lowered").dropDuplicates(["doc_id", "h"])
+    # units and runs both read them, and most texts end here
+    held = written(rows.withColumn("lowered", lowered).filter(has_some(lowered)).select("doc_id", "h", "lowered").dropDuplicates(["doc_id", "h"]), "licence-texts")
     units = held.select("doc_id", "h", F.explode(F.array_distinct(F.concat(F.split("lowered", "\n"), F.split("lowered", PARAGRAPH), F.array("lowered")))).alias("unit")).filter(has_some(F.col("unit")))
     met = _scores(units.select("doc_id", "h", F.xxhash64("unit").alias("u"), _words("unit").alias("w")), tables, *limits)
     met = met.unionByName(_best_runs(held, tables, *limits).withColumn("u", F.lit(None).cast("long")))
