@@ -86,13 +86,17 @@ def split_last(rows: DataFrame, k: int, *, key: str, by: str) -> DataFrame:
 
 
 def rolling_ratio(panel: DataFrame, column: str, n: int, least: int, *, key: str = "assetid", by: str = "ym", name: str | None = None) -> DataFrame:
-    """W-10: the value over its rolling mean, once enough rows are there."""
+    """W-10: the value over its rolling mean, once enough rows are there. Sums of a decimal column are exact: equal rows have equal ratios."""
     w = over(key, by=by, rows=(-(n - 1), 0))
-    return panel.withColumn(name or f"{column}_ratio_{n}", safe_div(F.col(column), at_least(F.avg(column).over(w), least, w, F.col(column))))
+    mean = F.sum(column).over(w).cast("double") / F.count(column).over(w)
+    return panel.withColumn(name or f"{column}_ratio_{n}", safe_div(F.col(column), at_least(mean, least, w, F.col(column))))
 
 
 def liquidity_bottom(panel: DataFrame, share: float, *, lookback: int = 12, least: int = 6) -> DataFrame:
-    """W-11: rows whose turnover ratio is at or above the month's quantile; rows without a ratio go."""
+    """W-11: rows whose turnover ratio is at or above the month's quantile; rows without a ratio go.
+
+    Where many assets have the ratio that is the quantile, turnover should be a decimal: sums of doubles depend on their order, and so would the side of the bar.
+    """
     rated = rolling_ratio(panel, "turnover", lookback, least, name="ratio")
     bars = rated.groupBy("ym").agg(F.percentile("ratio", F.lit(share)).alias("bar"))
     return rated.join(bars, "ym").filter("ratio >= bar")

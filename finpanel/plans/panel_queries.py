@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finpanel.functions import blank_to_null, percent_rank_average, safe_div
+from finpanel.functions import blank_to_null, month_index, percent_rank_average, safe_div
 from finpanel.operators import features, joins, panel, universe
 from finpanel.plans.catalog import query
 
@@ -192,9 +192,11 @@ def _(t):
     return universe.rolling_ratio(t.monthly, "turnover", 12, 6, name="ratio")
 
 
-@query("w11_liquidity_bottom", "assetid ym# ratio~8", "monthly", "SELECT assetid, ym, ratio FROM r JOIN (SELECT ym, quantile_cont(ratio, 0.1) AS bar FROM r GROUP BY ym) USING (ym) WHERE ratio >= bar", r="SELECT assetid, ym, turnover / nullif(CASE WHEN count(turnover) OVER w >= 6 THEN avg(turnover) OVER w END, 0) AS ratio FROM monthly WINDOW w AS (PARTITION BY assetid ORDER BY ym ROWS 11 PRECEDING)")
+# turnover in cents as decimals, so that ratios on the bar are equal to it whatever the order of the sums
+@query("w11_liquidity_bottom", "assetid ym# ratio~8", "trades", "SELECT assetid, ym, ratio FROM r JOIN (SELECT ym, quantile_cont(ratio, 0.1) AS bar FROM r GROUP BY ym) USING (ym) WHERE ratio >= bar", cents="SELECT assetid, year(date) * 12 + month(date) AS ym, coalesce(sum(CAST(notional AS DECIMAL(18, 2))), 0) AS turnover FROM trades GROUP BY ALL", r="SELECT assetid, ym, CAST(turnover AS DOUBLE) / nullif(CASE WHEN count(turnover) OVER w >= 6 THEN CAST(sum(turnover) OVER w AS DOUBLE) / count(turnover) OVER w END, 0) AS ratio FROM cents WINDOW w AS (PARTITION BY assetid ORDER BY ym ROWS 11 PRECEDING)")
 def _(t):
-    return universe.liquidity_bottom(t.monthly, 0.1)
+    cents = t.trades.groupBy("assetid", month_index(F.col("date")).alias("ym")).agg(F.coalesce(F.sum(F.col("notional").cast("decimal(18,2)")), F.lit(0)).alias("turnover"))
+    return universe.liquidity_bottom(cents, 0.1)
 
 
 @query("p17_feature_table", "assetid ym# mom_1~9 mom_3_z~7 mom_6_z~7 mom_12_z~7 label", "features", "SELECT f.*, label FROM (SELECT *, " + ", ".join(f"(mom_{m} - avg(mom_{m}) OVER w) / nullif(stddev_samp(mom_{m}) OVER w, 0) AS mom_{m}_z" for m in (3, 6, 12)) + " FROM features WINDOW w AS (PARTITION BY ym)) f JOIN b USING (assetid, ym)", b=BUCKET.format(c="fwd", n="label"))
