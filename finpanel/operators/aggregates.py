@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finpanel.functions import blank_to_null, over, safe_div
 from finpanel.operators.quantiles import exact_quantiles
+from finpanel.operators.stages import kept
 
 
 def downsample(bars: DataFrame, every: str = "30 minutes", *, watermark: str | None = None) -> DataFrame:
@@ -106,6 +107,7 @@ def filing_conflicts(df: DataFrame, *, date: str, investor: str, filing: str) ->
 def value_profile(df: DataFrame, column: str) -> DataFrame:
     """A-18: missing, negative, zero and positive values, and quantiles."""
     v = F.col(column).try_cast("double") if hasattr(Column, "try_cast") else F.expr(f"try_cast({column} as double)")
+    df, v = kept(df.select(v.alias("v")), "profile"), F.col("v")
     one = df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("positive"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     one = one.crossJoin(exact_quantiles(df, v, [0.01, 0.5, 0.99]))  # one row each
     return one.select("missing", "negative", "zero", "positive", "lo", F.col("q")[0].alias("p01"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p99"), "hi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.operators.stages import cut
+from finpanel.operators.stages import cut, kept
 
 #: Values that an aggregate may hold for a group.
 HELD = 100_000
@@ -83,10 +83,11 @@ def exact_quantiles(df: DataFrame, value: str | Column, shares: list[float], *,
     """The key and q, the interpolated quantiles of ``value`` as an array, of each group; the same as ``percentile``, which holds all distinct values of a group in one task.
 
     Groups of up to ``held`` values go through that; larger ones through brackets. Null and NaN are no values; a group
-    without any has null. Without a key, all rows are one group, and there is one row in any case.
+    without any has null. Without a key, all rows are one group, and there is one row in any case. Keys and values are
+    written once, as each pass would make ``df`` anew.
     """
     v = _number(F.col(value) if isinstance(value, str) else value)
-    rows = df.select((F.col(key) if key else F.lit(0)).alias("k"), v.alias("v"))
+    rows = kept(df.select((F.col(key) if key else F.lit(0)).alias("k"), v.alias("v")), "values")
     sizes = cut(rows.groupBy("k").agg(F.count("v").alias("n")))
     large = sizes.filter(F.col("n") > held)
     whole = F.percentile("v", F.array(*[F.lit(x) for x in shares]))
