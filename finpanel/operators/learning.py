@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finpanel.functions import safe_div
 from finpanel.operators.joins import history
+from finpanel.operators.stages import kept
 
 
 def naive_class(pred: DataFrame) -> DataFrame:
@@ -56,13 +57,15 @@ def folds(days: DataFrame, *, train: int = 24, test: int = 6, step: int = 6) ->
 def walk_forward(panel: DataFrame, features: list[str], *, label: str = "label", first: int = 24, every: int = 24, months: int = 120, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
     """P-15: class probabilities of each month from a forest trained on the months before its training month.
 
-    One forest for each training date; the loop is over dates, the data stay in Spark.
+    One forest for each training date; the loop is over dates, the data stay in Spark. The panel's columns are written once, as
+    each forest reads its months many times.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    plan = training_schedule(panel, first=first, every=every)
+    panel = kept(panel.select("assetid", "ym", label, *features), "panel")
+    plan = kept(training_schedule(panel, first=first, every=every), "schedule")  # a row for each month
     whole = panel.na.drop(subset=features)
     rows = VectorAssembler(inputCols=features, outputCol="x").transform(whole)
     out = None
