@@ -19,9 +19,13 @@ def distinct_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """U-3: sizes of the intersection and of the difference of two id sets."""
-    both, only = a.intersect(b), a.distinct().join(b, a.columns, "left_anti")
-    return both.agg(F.count(F.lit(1)).alias("in_both")).crossJoin(only.agg(F.count(F.lit(1)).alias("only_left")))  # one row each
+    """U-3: sizes of the intersection and of the difference of two id sets; null is an id like any other.
+
+    Ids are made distinct on each side before they meet, so that repeated ones are neither moved nor sorted.
+    """
+    sides = a.distinct().withColumn("__b", F.lit(False)).unionByName(b.distinct().withColumn("__b", F.lit(True)))
+    ids = sides.groupBy(*a.columns).agg(F.bool_or(~F.col("__b")).alias("__in_a"), F.bool_or("__b").alias("__in_b"))
+    return ids.agg(F.count_if(F.col("__in_a") & F.col("__in_b")).alias("in_both"), F.count_if(~F.col("__in_b")).alias("only_left"))
 
 
 def to_wide(rows: DataFrame, key: str, name: str, value: str, columns: dict[str, str]) -> DataFrame:
