@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.storage import cut
+from finpanel.llm.storage import cut, split
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match that begins inside a run of a pattern's first characters could begin at the run's first one as well. So emails and
@@ -37,6 +37,8 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]+"
 _TERM = TERM.replace("\\", "\\\\")  # in SQL
+#: A condition on text; one without such a character has no span.
+MARKED = "text rlike '[0-9@]'"
 #: Rows of one long that a broadcast may hold.
 BROADCAST_KEYS = 1_000_000
 #: Bytes of rows that a broadcast may hold.
@@ -133,8 +135,8 @@ def _uses(rows: DataFrame) -> DataFrame:
 def _pairs(rows: DataFrame) -> DataFrame:
     """level, u, entity and term of each line and text that holds both."""
     line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(0).alias("level"), F.xxhash64(x).alias("u"), x.alias("text")))
-    units = rows.filter(F.col("text").rlike("[0-9@]")).select(F.explode(F.concat(line, F.array(F.struct(F.lit(1).alias("level"), F.col("h").alias("u"), F.col("text").alias("text"))))).alias("x")).select("x.*")
-    held = _base(units.filter(F.col("text").rlike("[0-9@]")), ["level", "u", "text"]).filter(F.size("base") > 0).dropDuplicates(["level", "u"])
+    units = rows.filter(MARKED).select(F.explode(F.concat(line, F.array(F.struct(F.lit(1).alias("level"), F.col("h").alias("u"), F.col("text").alias("text"))))).alias("x")).select("x.*")
+    held = _base(units.filter(MARKED), ["level", "u", "text"]).filter(F.size("base") > 0).dropDuplicates(["level", "u"])
     held = held.withColumn("entities", F.array_distinct(F.transform("base", lambda b: _entity(b["kind"], b["value"]))))
     held = _with_words(held, ["level", "u", "entities"])
     return held.select("level", "u", "words", F.explode("entities").alias("entity")).select("level", "u", "entity", F.explode_outer("words").alias("term"))
@@ -170,7 +172,10 @@ def _term_spans(rows: DataFrame, smoothing: float, alpha: float) -> DataFrame:
     given_away = pairs.filter("level = 1").join(disclosing_terms(rows, pairs, smoothing=smoothing, alpha=alpha), ["entity", "term"])
     given_away = cut(given_away.groupBy(F.col("u").alias("h")).agg(F.collect_set("term").alias("terms")))
     length = F.expr("aggregate(terms, 32L, (a, t) -> a + 16 + octet_length(t))")
-    texts = rows.join(_few(given_away, BROADCAST_BYTES, length), "h").select("h", "text", "terms")
+    there = _few(given_away, BROADCAST_BYTES, length)
+    texts = rows.filter(MARKED)
+    texts = texts if there is not given_away else split(texts, "h", given_away.select("h"))[0]
+    texts = texts.join(there, "h").select("h", "text", "terms")
     words = texts.select("h", "terms", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"), F.split("text", TERM, -1).alias("g"))
     words = words.select("h", "terms", _once(F.expr(_placed("w", "g", len(KINDS))), "placed"))
     # the terms by a hash, so that a word is looked up among a few
@@ -205,11 +210,16 @@ def describe(spans: str) -> Column:
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, alpha: float = 1.1) -> DataFrame:
     """``docs`` with all columns; in the text each span is replaced by its kind in brackets, overlapping ones by the first."""
     rows = _rows(docs, doc_id, text)
-    terms = _few(_term_spans(rows, smoothing, alpha), BROADCAST_BYTES, _span_bytes())
+    written = _term_spans(rows, smoothing, alpha)
+    terms = _few(written, BROADCAST_BYTES, _span_bytes())
     # the row is one column here, so that its names clash with none
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), t.alias("text"), F.xxhash64(t).alias("h"))
-    held = _base(held, ["row", "text", "h"]).join(terms, "h", "left")
+    # a text without terms needs no join
+    some, rest = (held, held.limit(0)) if terms is not written else split(held, "h", written.select("h"))
+    held = _base(some, ["row", "text", "h"]).join(terms, "h", "left")
+    if terms is written:
+        held = held.unionByName(_base(rest, ["row", "text", "h"]).withColumn("terms", F.expr(NO_SPANS)))
     held = held.select("row", "text", F.col("base"), F.expr(_apart("terms", "base")).alias("terms")).select("row", "text", F.array_sort(F.concat("base", "terms")).alias("spans"))
     names = ", ".join(f"'[{k}]'" for k in KINDS)
     label = f"case when x.kind < {len(KINDS)} then element_at(array({names}), x.kind + 1) when x.value rlike '^\\\\p{{N}}+$' then '[number]' else '[term]' end"

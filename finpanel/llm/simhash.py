@@ -22,12 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.llm import kernels as K
 from finpanel.llm.components import components
-from finpanel.llm.storage import cut
+from finpanel.llm.storage import cut, few, split
 
 SLICE = 1 << 19
 TILE = 2048
@@ -151,8 +151,8 @@ def _bands(radius: int, rows: int) -> list[tuple[tuple[int, int], ...]]:
     return list(combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], agree))
 
 
-def deal(rows: DataFrame, keys: list[str], radius: int, size: int | None = None) -> DataFrame:
-    """``rows`` (with a population count ``pop`` and the row's name ``node``) with the pairs of tiles they go to: i, j and side.
+def deal(rows: DataFrame, keys: list[str], radius: int, size: int | None = None, name: tuple[str, ...] = ("node",)) -> DataFrame:
+    """``rows`` (with a population count ``pop`` and columns that ``name`` the row) with the pairs of tiles they go to: i, j and side.
 
     Rows of a key stand in order of population count and are cut into tiles; each row goes once to each pair of its own
     tile and another, but pairs whose population counts lie beyond the radius are left out. Keys of no more rows than a
@@ -163,6 +163,7 @@ def deal(rows: DataFrame, keys: list[str], radius: int, size: int | None = None)
     alone = [F.lit(0).alias(c) for c in ("i", "j", "side")]
     if big.isEmpty():
         return rows.select("*", *alone)
+    big = few(big)
     by_count = Window.partitionBy(*keys).orderBy("pop")
     cells = rows.join(big, keys, "left_semi").groupBy(*keys, "pop").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(by_count))
     tile = lambda c: F.floor(c / size).cast("int")
@@ -170,9 +171,9 @@ def deal(rows: DataFrame, keys: list[str], radius: int, size: int | None = None)
     tiles = cells.select(*keys, "pop", F.explode(F.sequence("first", "last")).alias("own")).groupBy(*keys, "own").agg(F.min("pop").alias("low"), F.max("pop").alias("high"))
     others = tiles.select(*keys, F.col("own").alias("o"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
     near = tiles.join(others, keys).filter((F.col("o_low") <= F.col("high") + radius) & (F.col("low") <= F.col("o_high") + radius))
-    near = near.select(*keys, "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"))
-    own = F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1).cast("int")
-    crowded = rows.join(cells, [*keys, "pop"]).withColumn("own", own).drop("first", "last").join(near, [*keys, "own"])
+    near = cut(near.select(*keys, "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side")))
+    own = F.col("first") + F.pmod(F.xxhash64(*name), F.col("last") - F.col("first") + 1).cast("int")
+    crowded = rows.join(few(cells), [*keys, "pop"]).withColumn("own", own).drop("first", "last").join(few(near), [*keys, "own"])
     names = [*rows.columns, "i", "j", "side"]
     return rows.join(big, keys, "left_anti").select(*rows.columns, *alone).unionByName(crowded.select(*names))
 
@@ -238,6 +239,17 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     return keep_one(docs, near_duplicates(docs, doc_id=doc_id, text=text, k=k, radius=radius), doc_id, text)
 
 
+def _without(docs: DataFrame, doc_id: str, h: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` but the rows of an id and text hash in ``gone`` (d, g); texts of other rows are not shuffled, one in 16 apart."""
+    there = few(gone)
+    if there is not gone:
+        return docs.join(there, (docs[doc_id] == there["d"]) & (h == there["g"]), "left_anti")
+    keyed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs[doc_id].alias("d"), h.alias("g"), F.xxhash64(docs[doc_id], h).alias("key"))
+    maybe, stay = split(keyed, "key", gone.select(F.xxhash64("d", "g")))
+    kept = maybe.join(gone, ["d", "g"], "left_anti").select("row").unionByName(stay.select("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row of each component of ``found`` (doc_id, h, root, component_id): that of the smallest id, and of its texts that of the smallest hash; rows with a null id stay.
 
@@ -251,7 +263,7 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataF
     same = lambda other: (docs[doc_id] == other["d"]) & (h == other["g"])
     again = judged.filter("stays and times > 1").select("d", "g")
     gone = judged.filter("not stays or times > 1").select("d", "g")
-    kept = docs.join(gone, same(gone), "left_anti")
+    kept = _without(docs, doc_id, h, gone)
     if again.isEmpty():
         return kept
     # one of each row that is repeated, whatever its other columns

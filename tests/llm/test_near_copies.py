@@ -6,7 +6,8 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
-from finpanel.llm import jaccard, simhash
+from finpanel.llm import jaccard, pii, simhash, storage
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,53 @@ def test_fingerprint_bits_decide_what_meets(spark, monkeypatch, width):
     assert near == 300 and sorted((tuple(r) for r in jaccard.keep_first(docs).collect()), key=str) == want
     monkeypatch.setattr(jaccard, "_bands", lambda rows: (width, 0, 2))
     assert jaccard.keep_first(docs).count() == 600
+
+
+def shuffled(spark, df):
+    """Bytes that a frame's jobs shuffle, and its rows."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    before = sc.statusStore().executorSummary("driver").totalShuffleWrite()
+    rows = df().collect()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite() - before, rows
+
+
+def test_split_by_keys(spark):
+    """Every row with a key is among those that may have one, most others are not, and no row is lost."""
+    rows = spark.range(5000).select("id", F.when(F.col("id") != 7, F.xxhash64("id")).alias("h"), F.lit("x").alias("text"))
+    maybe, rest = storage.split(rows, "h", storage.cut(rows.filter("id % 10 = 3").select("h")))
+    a, b = ({r.id for r in x.collect()} for x in (maybe, rest))
+    assert a | b == set(range(5000)) and not a & b and a >= set(range(3, 5000, 10)) and len(a) < 1100
+    maybe, rest = storage.split(rows, "h", storage.cut(rows.limit(0).select("h")))
+    assert maybe.count() == 0 and rest.count() == 5000
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_texts_stay_where_they_are(spark, monkeypatch, tmp_path, limit):
+    """Texts that are no one's near copies, and texts without terms, are not shuffled, whether the keys are broadcast or told by bits."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = [(i, " ".join(word() for _ in range(4000))) for i in range(150)]
+    rows += [(200 + i, f"{rows[i][1]} more") for i in range(5)]
+    rows += [(300 + i, f"write to {word()} at {word()}@example.org about {word()}") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    size = sum(len(t) for _, t in rows)
+    moved, kept = shuffled(spark, lambda: jaccard.keep_first(docs))
+    assert sorted(r.doc_id for r in kept) == [*range(150), *range(300, 305)] and moved < size / 2
+    moved, clean = shuffled(spark, lambda: pii.sanitise(docs))
+    assert len(clean) == len(rows) and moved < size / 4
+    was = dict(rows)
+    assert all(r.text == was[r.doc_id] if r.doc_id < 300 else r.text.startswith("[term] ") or "[email]" in r.text for r in clean)
+
+
+def test_nodes_of_one_fingerprint(spark, monkeypatch):
+    """Sets that share all bits of their fingerprints are compared though no other fingerprint is near."""
+    monkeypatch.setattr(jaccard, "fingerprint", lambda hashes, n: np.zeros(len(n), dtype=np.uint64))
+    a = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join([*a, "x"])), (3, " ".join(f"z{i}" for i in range(60)))]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
