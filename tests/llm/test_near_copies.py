@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
-from finpanel.llm import jaccard, pii, simhash, storage
+from finpanel.llm import components, jaccard, pii, simhash, storage
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -166,3 +166,18 @@ def test_nodes_of_one_fingerprint(spark, monkeypatch):
     rows = [(1, " ".join(a)), (2, " ".join([*a, "x"])), (3, " ".join(f"z{i}" for i in range(60)))]
     kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 300])
+def test_links_of_many_tasks(spark, monkeypatch, part):
+    """pipeline: a group whose nodes many tasks link to different ones comes into the rounds with few links a node, in its components."""
+    monkeypatch.setattr(components, "PART", part, raising=False)
+    dice = random.Random(6)
+    links = [(1000 * g + 100 + i, 1000 * g + c) for g in range(3) for i in range(200) for c in dice.sample(range(60), 40)]
+    links += [(5, 5), (9001, 9000), (9000, 9001), (9002, 9003), (9001, 9003), (-7, 9100)]
+    came, mark = [], components._mark
+    monkeypatch.setattr(components, "_mark", lambda now: came.append(mark(now)) or came[-1])
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(7), "a", "b").collect()
+    want = {n: 1000 * (n // 1000) for link in links for n in link if 0 <= n < 9000} | dict.fromkeys(range(9000, 9004), 9000) | {-7: -7, 9100: -7}
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert all(n < 12 * len(want) for n, _ in came) and bool(came) == (part < len(links))  # of up to 40 links a node
