@@ -54,14 +54,16 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str, *, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, *, rounds: int = 50, about: int | None = None) -> DataFrame:
     """node and root (the smallest node it reaches) of every node that has a link; self-links and repeats are harmless.
 
     Links that tasks found apart are merged in parts, again as long as that halves them; what one part holds is settled
     then, the rest in rounds. Each round joins links with minima that are aggregated before the shuffle; no neighbour list
     is ever built, and a node that many links share is a skewed join key, which Spark splits. It stops when a round changes nothing.
+    Where it is known ``about`` how many links there may be, they are merged once before they are written.
     """
-    now = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
+    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    now = cut(_stars(now, math.ceil(math.sqrt(math.ceil(about / PART) or 1))).distinct() if about is not None else now)
     left = now.count()
     while (side := math.ceil(math.sqrt(math.ceil(left / PART)))) > 1:
         now = cut(_stars(now, side).distinct())
