@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from finpanel.functions import over, safe_div
 from finpanel.operators.quantiles import exact_quantiles
-from finpanel.operators.stages import behind_part, cut, ordered_parts, over_parts
+from finpanel.operators.stages import behind_part, cut, kept, ordered_parts, over_parts
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
 
 
 def quantile_state(rows: DataFrame, columns: dict[str, tuple[float, ...]], *, train: Column | None = None) -> DataFrame:
-    """R-1: each column's level by quantiles (of the training rows where given), and all levels as one number."""
+    """R-1: each column's level by quantiles (of the training rows where given), and all levels as one number.
+
+    The rows are written once: a mean that is made again may differ in its last bit, and the row that is the quantile itself
+    would lie above it or not by chance.
+    """
+    rows = kept(rows, "states")
     base = rows.filter(train) if train is not None else rows
     out = rows
     for c, qs in columns.items():
